@@ -34,7 +34,9 @@ TICKS = 4096
 
 
 def document_key(doc_id: Column, text: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id, text)
+    """60 bits of an MD5 of the document, which other engines can compute as well."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

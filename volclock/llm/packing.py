@@ -87,6 +87,12 @@ class Encoder:
         return b"".join(found)
 
 
+def public_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _strings(column: pa.Array) -> Iterator[str]:
     for text in column:
         yield text.as_py() or ""

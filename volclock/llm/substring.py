@@ -287,7 +287,8 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     white space, the others have their kept words joined by one space."""
 
     ranged = with_ranges(docs, **parameters)
-    at, last = docs.columns.index("text"), len(docs.columns)
+    names, schema = docs.columns, docs.schema
+    at, last = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,6 +298,6 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
             ]
             columns = batch.columns[:last]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return ranged.mapInArrow(run, docs.schema)
+    return ranged.mapInArrow(run, schema)
