@@ -9,8 +9,7 @@ group is too small to judge itself by. Bins are integers, so reruns agree.
 A document fails a rule if its metric lies beyond the group's quartiles by more than
 ``FENCE`` times their distance, or a least slack where the group hardly varies.
 
-Everything runs as DataFrame expressions; a text is read twice (for the sketches, then for
-the verdict) and never shuffled.
+Everything runs as DataFrame expressions; a text is read once and never shuffled.
 
 Defined results: null or empty text has no words and fails the base rule; null lang and null
 source are groups of their own; an empty table gives an empty result.
@@ -174,14 +173,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    lean = docs.select("lang", "source", "text")
-    base = stored(with_base(lean).drop("text"), "rules-base")
-    bounds = stored(thresholds(base), "rules-bounds")
     clashing = [c for c in docs.columns if c in (*BASE, "n_lines", "base_failed", "kept")]
     renamed = docs
     for c in clashing:
         renamed = renamed.withColumnRenamed(c, f"_own_{c}")
-    kept = judge(with_base(renamed), bounds).filter("kept").select(*renamed.columns)
+    # stored, so that the filter on the verdict can't draw the array expressions into itself
+    base = stored(with_base(renamed), "rules-base")
+    kept = judge(base, stored(thresholds(base), "rules-bounds")).filter("kept").select(*renamed.columns)
     for c in clashing:
         kept = kept.withColumnRenamed(f"_own_{c}", c)
     return kept

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from volclock.llm import mixing, ngram_join, oracles, packing, quality_rules, substring
+from volclock.llm import ann, language_id, license_scan, mixing, ngram_join, oracles, packing, quality_model, quality_rules, quotes, substring
 from volclock.llm.text import table
 
 
@@ -15,6 +16,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", quality_model.toxic_poor_good(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality_model.graded(docs, quality_model.fitted(docs, ratings))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), ngram=3, numerator=90, denominator=100)
 
@@ -24,6 +39,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -32,12 +51,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_vocabulary())
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing,
-    "op5_ngram_jaccard": op5_ngram_jaccard,
-    "op6_quality_rules": op6_quality_rules,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_packing": op9_packing,
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_quality_classifier,
+        op3_chat_formatting,
+        op4_nearest_neighbours,
+        op5_ngram_jaccard,
+        op6_quality_rules,
+        op7_language_id,
+        op8_substring_dedup,
+        op9_packing,
+        op10_license_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
