@@ -18,7 +18,7 @@ def duck(sql: str, sf_dir: str):
 def plain(v):
     import pandas as pd
 
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
