@@ -129,19 +129,16 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _cells(column) -> list:
-    """Two cells of a class in a Bloom filter."""
-    h = F.xxhash64(column)
-    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """cls and its whole set (8 bytes a token) for the classes in ``wanted``."""
+    """cls and its whole set (8 bytes a token) for ``wanted`` (cls and rep, one of its doc_ids).
+
+    Only texts that a Bloom filter of the representatives lets through are looked at again.
+    """
     spark = docs.sparkSession
-    # 16 bits of the digest pick a cell of 64: at most FILTER_BITS / 64 rows come to the driver
-    number = F.conv(F.substring(F.hex("cls"), 1, 8), 16, 10).cast("long").bitwiseAND(FILTER_BITS - 1)
+    cell = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+    # at most FILTER_BITS / 64 rows of two numbers come to the driver
     rows = (
-        wanted.select(number.alias("at"))
+        wanted.select(cell("rep").alias("at"))
         .groupBy(F.shiftright("at", 6).alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
         .toArrow()
@@ -153,18 +150,14 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = WordHasher(fold=LOWER), np.frombuffer(sent.value, np.int64)
         for batch in batches:
-            for _, sets in _sets(batch, hasher, ngram):
-                rows = {}
-                for s in sets:
-                    if len(s):
-                        digest = _digest(s)
-                        at = int.from_bytes(digest[:4], "big") & (FILTER_BITS - 1)
-                        if held[at >> 6] >> (at & 63) & 1:
-                            rows[digest] = s.tobytes()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], ["cls", "tokens"])
+            at = batch.column(1).to_numpy()
+            for _, sets in _sets(batch.filter(pa.array(held[at >> 6] >> (at & 63) & 1 == 1)), hasher, ngram):
+                found = {_digest(s): s.tobytes() for s in sets if len(s)}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, tokens binary").dropDuplicates(["cls", "tokens"]).join(wanted, "cls", "left_semi")
+    looked_at = docs.select("text", cell(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls binary, tokens binary")
+    return looked_at.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -209,13 +202,17 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
     shared = stored(postings.join(several, "token"), "jac-shared")
     wanted = stored(shared.select("cls").distinct(), "jac-wanted")
     arrays = [f"p{k}" for k in range(1, ORDERS)]
-    classes = rows.join(wanted, "cls", "left_semi").groupBy("cls", "n", *arrays).agg(F.lit(1).alias("_one")).drop("_one")
+    classes = rows.join(wanted, "cls", "left_semi").groupBy("cls", "n", *arrays).agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "jac-classes")
-    sets = stored(whole_sets(docs, wanted, ngram), "jac-sets")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return stored(verified(filtered(pairs, classes, numerator, denominator), sets, numerator, denominator), name)
+        pairs = stored(filtered(pairs, classes, numerator, denominator), f"{name}-candidates")
+        members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        members = stored(members.join(classes.select("cls", "rep"), "cls"), f"{name}-members")
+        if members.isEmpty():
+            return pairs
+        return stored(verified(pairs, stored(whole_sets(docs, members, ngram), f"{name}-sets"), numerator, denominator), name)
 
     # each token's classes against a few hubs of its list
     hub = [F.min(F.struct(F.xxhash64(F.lit(k), "cls").alias("h"), F.col("cls").alias("c")))["c"].alias(f"h{k}") for k in range(HUBS)]
