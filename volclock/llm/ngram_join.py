@@ -39,7 +39,6 @@ ORDERS = 3
 TABLE = 100_000
 #: Prefix tokens that fewer documents hold than this count as rare.
 FREQUENT = 24
-HUBS = 3
 FILTER_BITS = 1 << 25
 
 
@@ -60,8 +59,9 @@ def _sets(batch: pa.RecordBatch, hasher: WordHasher, ngram: int, column: int = 0
         yield part, sets
 
 
-def _digest(tokens: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+def _digest(tokens: np.ndarray) -> int | None:
+    """The class of a set: 64 bits, as many as its tokens have."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
 def prefix_length(n: int, numerator: int, denominator: int) -> int:
@@ -117,15 +117,17 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
         hasher, order = WordHasher(fold=LOWER), Order(table.value)
         for batch in batches:
             for part, sets in _sets(batch, hasher, ngram, 1):
-                columns = [batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())]
+                columns = [batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
                 for k in range(ORDERS):
                     prefixes = [_prefix(s, order.ranks(s, k), prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
                     offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                     values = np.concatenate(prefixes).view(np.int64)
+                    # the other orders only rule pairs out, for which half of a hash does
+                    values = values.astype(np.int32) if k else values
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *names])
 
-    schema = "doc_id long, n long, cls binary" + "".join(f", {p} array<long>" for p in names)
+    schema = "doc_id long, n long, cls long" + "".join(f", {p} array<{'int' if k else 'long'}>" for k, p in enumerate(names))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -154,9 +156,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
             for _, sets in _sets(batch.filter(pa.array(held[at >> 6] >> (at & 63) & 1 == 1)), hasher, ngram):
                 found = {_digest(s): s.tobytes() for s in sets if len(s)}
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["cls", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "tokens"])
 
-    looked_at = docs.select("text", cell(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls binary, tokens binary")
+    looked_at = docs.select("text", cell(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls long, tokens binary")
     return looked_at.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -176,18 +178,19 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     first = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_x"))
     second = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_y"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def filtered(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that agree in size and share a prefix token under the other orders."""
-    names = ["n", *[f"p{k}" for k in range(1, ORDERS)]]
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
-    test = F.lit(denominator) * F.least("a_n", "b_n") >= F.lit(numerator) * F.greatest("a_n", "b_n")
+    """The pairs (a, b) that agree in size and share a prefix token under the other orders,
+    one order after the other."""
     for k in range(1, ORDERS):
-        test = test & F.arrays_overlap(f"a_p{k}", f"b_p{k}")
-    return pairs.filter(test).select("a", "b")
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), F.col(f"p{k}").alias(f"_p{side}")), side)
+        sizes = F.lit(denominator) * F.least("_na", "_nb") >= F.lit(numerator) * F.greatest("_na", "_nb")
+        pairs = both.filter(sizes & F.arrays_overlap("_pa", "_pb")).select("a", "b")
+    return pairs
 
 
 def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
@@ -198,8 +201,8 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
 
     postings = rows.filter("n > 0").select(F.explode("p0").alias("token"), "cls").distinct()
     postings = stored(postings, "jac-postings")
-    several = postings.groupBy("token").agg(F.min("cls").alias("_x"), F.max("cls").alias("_y")).filter("_x != _y").select("token")
-    shared = stored(postings.join(several, "token"), "jac-shared")
+    ends = postings.groupBy("token").agg(F.min("cls").alias("_x"), F.max("cls").alias("_y")).filter("_x != _y")
+    shared = stored(postings.join(ends, "token"), "jac-shared")
     wanted = stored(shared.select("cls").distinct(), "jac-wanted")
     arrays = [f"p{k}" for k in range(1, ORDERS)]
     classes = rows.join(wanted, "cls", "left_semi").groupBy("cls", "n", *arrays).agg(F.min("doc_id").alias("rep"))
@@ -214,10 +217,8 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
             return pairs
         return stored(verified(pairs, stored(whole_sets(docs, members, ngram), f"{name}-sets"), numerator, denominator), name)
 
-    # each token's classes against a few hubs of its list
-    hub = [F.min(F.struct(F.xxhash64(F.lit(k), "cls").alias("h"), F.col("cls").alias("c")))["c"].alias(f"h{k}") for k in range(HUBS)]
-    hubs = shared.groupBy("token").agg(*hub).select("token", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(HUBS)]))).alias("b"))
-    starred = shared.join(hubs, "token").filter("cls != b").select(F.col("cls").alias("a"), "b")
+    # each token's classes against two hubs of its list (its first and last by class hash)
+    starred = shared.select(F.col("cls").alias("a"), F.explode(F.array("_x", "_y")).alias("b")).filter("a != b")
     links = check(starred, "jac-starred")
 
     # what is left: candidates from different components
