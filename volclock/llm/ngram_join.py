@@ -40,6 +40,11 @@ TABLE = 100_000
 #: Prefix tokens that fewer documents hold than this count as rare.
 FREQUENT = 24
 FILTER_BITS = 1 << 25
+#: The last order's prefixes are longer by so many times their length, and as many tokens of
+#: them must be shared.
+EXTRA = 2
+#: Half hashes of different tokens of one prefix may agree, hardly ever so many of them.
+COLLISIONS = 2
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, ngram: int, column: int = 0) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -119,7 +124,8 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
             for part, sets in _sets(batch, hasher, ngram, 1):
                 columns = [batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
                 for k in range(ORDERS):
-                    prefixes = [_prefix(s, order.ranks(s, k), prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
+                    times = 1 + EXTRA * (k == ORDERS - 1)
+                    prefixes = [_prefix(s, order.ranks(s, k), times * prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
                     offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                     values = np.concatenate(prefixes).view(np.int64)
                     # the other orders only rule pairs out, for which half of a hash does
@@ -182,14 +188,25 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
 
 def filtered(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that agree in size and share a prefix token under the other orders,
-    one order after the other."""
+    """The pairs (a, b) that agree in size and share enough prefix tokens under the other
+    orders, one order after the other.
+
+    Of o common tokens the m-th one in an order has o - m tokens of either set behind it, so it
+    lies in both prefixes if those are m - 1 longer than needed for the first one: such
+    prefixes share at least m tokens (or all o).
+    """
+    fraction = f"({numerator} * {{n}} + {denominator - 1}) div {denominator}"
+    longer = [f"{EXTRA} * (_n{side} - {fraction.format(n=f'_n{side}')} + 1)" for side in ("a", "b")]
+    least = {ORDERS - 1: F.expr(f"least({', '.join(longer)}, {fraction.format(n='greatest(_na, _nb)')}) - {COLLISIONS}")}
     for k in range(1, ORDERS):
         both = pairs
         for side in ("a", "b"):
             both = both.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), F.col(f"p{k}").alias(f"_p{side}")), side)
         sizes = F.lit(denominator) * F.least("_na", "_nb") >= F.lit(numerator) * F.greatest("_na", "_nb")
-        pairs = both.filter(sizes & F.arrays_overlap("_pa", "_pb")).select("a", "b")
+        enough = F.arrays_overlap("_pa", "_pb")
+        if k in least:
+            enough = enough & (F.size(F.array_intersect("_pa", "_pb")) >= least[k])
+        pairs = both.filter(sizes & enough).select("a", "b")
     return pairs
 
 
@@ -215,7 +232,7 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
         members = stored(members.join(classes.select("cls", "rep"), "cls"), f"{name}-members")
         if members.isEmpty():
             return pairs
-        return stored(verified(pairs, stored(whole_sets(docs, members, ngram), f"{name}-sets"), numerator, denominator), name)
+        return stored(verified(pairs, whole_sets(docs, members, ngram), numerator, denominator), name)
 
     # each token's classes against two hubs of its list (its first and last by class hash)
     starred = shared.select(F.col("cls").alias("a"), F.explode(F.array("_x", "_y")).alias("b")).filter("a != b")
