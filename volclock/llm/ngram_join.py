@@ -216,7 +216,7 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
     table = spark.sparkContext.broadcast(frequency_table(docs, ngram, numerator, denominator))
     rows = stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
 
-    postings = rows.filter("n > 0").select(F.explode("p0").alias("token"), "cls").distinct()
+    postings = rows.filter("n > 0").select(F.explode("p0").alias("token"), "cls", "n").distinct()
     postings = stored(postings, "jac-postings")
     ends = postings.groupBy("token").agg(F.min("cls").alias("_x"), F.max("cls").alias("_y")).filter("_x != _y")
     shared = stored(postings.join(ends, "token"), "jac-shared")
@@ -240,12 +240,13 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
 
     # what is left: candidates from different components
     roots = stored(components(links), "jac-roots")
-    named = shared.join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+    named = shared.join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
     named = stored(named, "jac-named")
     mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
     named = named.join(mixed, "token")
-    left, right = named.select("token", F.col("cls").alias("a"), F.col("root").alias("_r")), named.select("token", F.col("cls").alias("b"), F.col("root").alias("_s"))
-    crossing = left.join(right, "token").filter(F.col("_r") < F.col("_s")).select("a", "b")
+    left, right = named.select("token", F.col("cls").alias("a"), F.col("root").alias("_r"), F.col("n").alias("_n")), named.select("token", F.col("cls").alias("b"), F.col("root").alias("_s"), F.col("n").alias("_m"))
+    alike = F.lit(denominator) * F.least("_n", "_m") >= F.lit(numerator) * F.greatest("_n", "_m")
+    crossing = left.join(right, "token").filter((F.col("_r") < F.col("_s")) & alike).select("a", "b")
     more = check(crossing, "jac-crossing")
     return rows.select("doc_id", "n", "cls"), components(links.unionByName(more))
 
