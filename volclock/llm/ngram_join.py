@@ -40,11 +40,8 @@ TABLE = 100_000
 #: Prefix tokens that fewer documents hold than this count as rare.
 FREQUENT = 24
 FILTER_BITS = 1 << 25
-#: The last order's prefixes are longer by so many times their length, and as many tokens of
-#: them must be shared.
-EXTRA = 2
-#: Half hashes of different tokens of one prefix may agree, hardly ever so many of them.
-COLLISIONS = 2
+#: Words of 64 bits in a parity signature.
+PARITY = 8
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, ngram: int, column: int = 0) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -73,6 +70,13 @@ def prefix_length(n: int, numerator: int, denominator: int) -> int:
     return n - -(-numerator * n // denominator) + 1
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of 64 * PARITY bits. Two signatures differ
+    in at most as many bits as the sets differ in tokens."""
+    bits = np.bincount((mix64(tokens) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _prefix(tokens: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     if length >= len(tokens):
         return tokens
@@ -115,25 +119,27 @@ def frequency_table(docs: DataFrame, ngram: int, numerator: int, denominator: in
 
 
 def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, table) -> DataFrame:
-    """Per document: doc_id, n (size of its set), cls (digest of its set), p0, p1, ... (prefixes)."""
-    names = [f"p{k}" for k in range(ORDERS)]
+    """Per document: doc_id, n (size of its set), cls (digest of its set), s0, s1, ... (parity
+    signature), p0, p1, ... (prefixes, from the second one on as distinct half hashes)."""
+    names = [f"s{i}" for i in range(PARITY)] + [f"p{k}" for k in range(ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = WordHasher(fold=LOWER), Order(table.value)
         for batch in batches:
             for part, sets in _sets(batch, hasher, ngram, 1):
                 columns = [batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
+                signatures = np.stack([_parity(s) for s in sets])
+                columns += [pa.array(np.ascontiguousarray(signatures[:, i])) for i in range(PARITY)]
                 for k in range(ORDERS):
-                    times = 1 + EXTRA * (k == ORDERS - 1)
-                    prefixes = [_prefix(s, order.ranks(s, k), times * prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
-                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                    values = np.concatenate(prefixes).view(np.int64)
+                    prefixes = [_prefix(s, order.ranks(s, k), prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
                     # the other orders only rule pairs out, for which half of a hash does
-                    values = values.astype(np.int32) if k else values
+                    prefixes = [np.unique(p.view(np.int64).astype(np.int32)) if k else p.view(np.int64) for p in prefixes]
+                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+                    values = np.concatenate(prefixes)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *names])
 
-    schema = "doc_id long, n long, cls long" + "".join(f", {p} array<{'int' if k else 'long'}>" for k, p in enumerate(names))
+    schema = "doc_id long, n long, cls long" + "".join(f", s{i} long" for i in range(PARITY)) + "".join(f", {p} array<{'int' if k else 'long'}>" for k, p in enumerate(names[PARITY:]))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -188,25 +194,34 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
 
 def filtered(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that agree in size and share enough prefix tokens under the other
-    orders, one order after the other.
-
-    Of o common tokens the m-th one in an order has o - m tokens of either set behind it, so it
-    lies in both prefixes if those are m - 1 longer than needed for the first one: such
-    prefixes share at least m tokens (or all o).
+    """The pairs (a, b) that agree in size and in parity, and share enough prefix tokens under
+    the other orders, one order after the other.
+
+    Similar sets of n and m tokens have at least o = t (n + m) / (1 + t) in common, so at most
+    n + m - 2 o are in one of them only, which bounds the bits that their signatures differ in.
+    The i-th common token of an order has at most n - o others before it in its set, so it lies
+    in a prefix of l tokens if i <= l - (n - o): both prefixes share all up to the smaller of
+    these numbers. Half hashes that agree within a prefix are subtracted.
     """
-    fraction = f"({numerator} * {{n}} + {denominator - 1}) div {denominator}"
-    longer = [f"{EXTRA} * (_n{side} - {fraction.format(n=f'_n{side}')} + 1)" for side in ("a", "b")]
-    least = {ORDERS - 1: F.expr(f"least({', '.join(longer)}, {fraction.format(n='greatest(_na, _nb)')}) - {COLLISIONS}")}
+    common = f"(({numerator} * (_na + _nb) + {numerator + denominator - 1}) div {numerator + denominator})"
+    length = "({n} - ({numerator} * {n} + {denominator} - 1) div {denominator} + 1)"
+    la, lb = (length.format(n=n, numerator=numerator, denominator=denominator) for n in ("_na", "_nb"))
+    sizes = F.lit(denominator) * F.least("_na", "_nb") >= F.lit(numerator) * F.greatest("_na", "_nb")
+    differing = F.expr(" + ".join(f"bit_count(_sa{i} ^ _sb{i})" for i in range(PARITY)))
+    alike = sizes & (differing <= F.expr(f"_na + _nb - 2 * {common}"))
+    least = F.expr(f"least({la} - _na, {lb} - _nb) + {common} - ({la} - size(_pa))")
+
+    def of(side: str, names: dict[str, str]) -> DataFrame:
+        return classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(c).alias(f"{k}") for c, k in names.items()])
+
+    for side in ("a", "b"):
+        pairs = pairs.join(of(side, {f"s{i}": f"_s{side}{i}" for i in range(PARITY)}), side)
+    pairs = pairs.filter(alike).select("a", "b")
     for k in range(1, ORDERS):
         both = pairs
         for side in ("a", "b"):
-            both = both.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), F.col(f"p{k}").alias(f"_p{side}")), side)
-        sizes = F.lit(denominator) * F.least("_na", "_nb") >= F.lit(numerator) * F.greatest("_na", "_nb")
-        enough = F.arrays_overlap("_pa", "_pb")
-        if k in least:
-            enough = enough & (F.size(F.array_intersect("_pa", "_pb")) >= least[k])
-        pairs = both.filter(sizes & enough).select("a", "b")
+            both = both.join(of(side, {f"p{k}": f"_p{side}"}), side)
+        pairs = both.filter(F.size(F.array_intersect("_pa", "_pb")) >= F.greatest(least, F.lit(1))).select("a", "b")
     return pairs
 
 
@@ -216,14 +231,12 @@ def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int
     table = spark.sparkContext.broadcast(frequency_table(docs, ngram, numerator, denominator))
     rows = stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
 
-    postings = rows.filter("n > 0").select(F.explode("p0").alias("token"), "cls", "n").distinct()
-    postings = stored(postings, "jac-postings")
+    # copies meet on the map side already, so that none of them is shuffled twice by a task
+    columns = [c for c in rows.columns if c != "doc_id"]
+    classes = stored(rows.filter("n > 0").groupBy(*columns).agg(F.min("doc_id").alias("rep")), "jac-classes")
+    postings = classes.select(F.explode("p0").alias("token"), "cls", "n")
     ends = postings.groupBy("token").agg(F.min("cls").alias("_x"), F.max("cls").alias("_y")).filter("_x != _y")
-    shared = stored(postings.join(ends, "token"), "jac-shared")
-    wanted = stored(shared.select("cls").distinct(), "jac-wanted")
-    arrays = [f"p{k}" for k in range(1, ORDERS)]
-    classes = rows.join(wanted, "cls", "left_semi").groupBy("cls", "n", *arrays).agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "jac-classes")
+    shared = stored(postings.join(ends, "token").distinct(), "jac-shared")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
