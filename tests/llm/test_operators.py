@@ -39,6 +39,43 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(awkward.documents(spark)).count() == awkward.documents(spark).count()
 
 
+def test_license_references(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache-2",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "under the GNU Affero General Public License v3": "agpl-3",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2",
+        "Mozilla Public License, v. 2.0": "mpl-2",
+        "available under CC BY-SA 4.0": "cc-by-sa",
+        "Creative Commons Attribution 4.0": "cc-by",
+        "the GNU Lesser General Public License, version 3": "",
+        "the general public asked for a license, version 3": "",
+    }
+    docs = spark.createDataFrame([(i, f"some words. {t} more") for i, t in enumerate(lines)], "doc_id long, text string")
+    rows = sorted(license_scan.scan_licenses(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["labels"] for r in rows] == list(lines.values())
+    assert [r["n_base"] for r in rows] == [0, 1, 1, 1] + [0] * 7 and rows[0]["score"] == 1.0
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = license_scan.scan_licenses(table).join(table.select("doc_id", "text"), "doc_id")
+    for line, label in list(lines.items())[:4]:
+        held = found.filter(F.col("text").contains(line))
+        assert held.count() > 0 and held.filter(~F.array_contains(F.split("labels", ","), label)).isEmpty()
+
+
+def test_license_absent_words(spark):
+    """A notice whose rarest words no document holds is found by its other words."""
+    text, phrases = license_scan.NOTICES["gpl-3"]
+    words = text.split()
+    for gone in ("program", "redistribute", "modify", "option", "later", "terms"):
+        words = [w for w in words if gone not in w.lower()]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "else")] + [(i, "either version of the free software license is published by the foundation under gnu general public") for i in range(3, 60)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(docs, references={}).collect()}
+    assert rows[1] == "gpl-3" and rows[2] == rows[3] == ""
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     held = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")

@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words.
 
-The index holds, for each template (the notice of a license, or a short phrase), the
-positions of its rarest words; how rare a word is comes from the numbers of documents that
+The index holds, for each template (the notice of a license, a short phrase, or a reference of
+one line, which gives a label but isn't counted), the positions of its rarest words; how rare a word is comes from the numbers of documents that
 hold it, counted over the whole corpus. A file's own rare license words are looked up;
 postings whose position relative to the file agrees meet at one place (an exact one for a
-phrase, within ``SLACK`` words for a notice, which may have words put in or left out). Such a
+phrase or reference, within ``SLACK`` words for a notice, which may have words put in or left out). Such a
 place is then verified: every word of a phrase in its position; ``SHARE`` of a notice's words
 and all its mandatory key phrases.
 
@@ -89,14 +89,42 @@ NOTICES = {
     ),
 }
 
+# References of one line: they give labels, but don't count among the places of phrases.
+REFERENCES = {
+    "mit": ["spdx license identifier mit", "licensed under mit"],
+    "isc": ["spdx license identifier isc", "under the isc license"],
+    "apache-2": ["apache license 2 0", "apache license v2", "spdx license identifier apache 2 0"],
+    "bsd-2-clause": ["bsd 2 clause", "2 clause bsd license", "simplified bsd license"],
+    "bsd-3-clause": ["bsd 3 clause", "3 clause bsd license", "new bsd license"],
+    "gpl-2": [
+        "gnu general public license version 2", "gnu general public license v2", "gnu general public license v 2", "version 2 of the gnu general public license",
+        "gnu gpl version 2", "gpl version 2", "gpl v2", "gplv2", "gpl 2", "gpl 2 0",
+    ],
+    "gpl-3": [
+        "gnu general public license version 3", "gnu general public license v3", "gnu general public license v 3", "version 3 of the gnu general public license",
+        "gnu gpl version 3", "gpl version 3", "gpl v3", "gplv3", "gpl 3", "gpl 3 0",
+    ],
+    "agpl-3": [
+        "gnu affero general public license version 3", "gnu affero general public license v3", "gnu affero general public license v 3",
+        "version 3 of the gnu affero general public license", "agpl version 3", "agpl v3", "agplv3", "agpl 3", "agpl 3 0",
+    ],
+    "mpl-2": [
+        "mozilla public license version 2", "mozilla public license v2", "mozilla public license v 2", "mozilla public license 2", "mpl version 2", "mpl v2", "mpl 2 0",
+    ],
+    "unlicense": ["spdx license identifier unlicense", "under the unlicense"],
+    "cc-by": ["cc by 4", "cc by 3", "creative commons attribution 4", "creative commons attribution 3"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "cc-by-nc": ["creative commons attribution noncommercial", "creative commons attribution non commercial"],
+}
+
 ANCHORS = 8
 SLACK = 6
 SHARE = 0.8
 
 
 class Template:
-    def __init__(self, label: str, words: list[int], phrases: list[list[int]], exact: bool):
-        self.label, self.words, self.exact = label, np.array(words), exact
+    def __init__(self, label: str, words: list[int], phrases: list[list[int]], exact: bool, base: bool = False):
+        self.label, self.words, self.exact, self.base = label, np.array(words), exact, base
         self.phrases = [np.array(p) for p in phrases]
         self.anchors: list[int] = []
 
@@ -104,17 +132,18 @@ class Template:
 class RareWordIndex:
     """Templates as numbers of words in one vocabulary, and the postings of their anchors."""
 
-    def __init__(self, phrases: dict[str, str], notices: dict[str, tuple[str, list[str]]]):
+    def __init__(self, phrases: dict[str, str], notices: dict[str, tuple[str, list[str]]], references: dict[str, list[str]] = {}):
         self.hasher = WordHasher(separators=NOT_ALNUM, fold=LOWER)
-        texts = [*phrases.values(), *(t for t, _ in notices.values()), *(p for _, ps in notices.values() for p in ps)]
+        lines = [(label, r) for label, rs in references.items() for r in rs]
+        texts = [*phrases.values(), *(t for t, _ in notices.values()), *(p for _, ps in notices.values() for p in ps), *(r for _, r in lines)]
         hashed = [self.hasher([t.encode()]).hashes for t in texts]
         self.vocabulary = np.unique(np.concatenate(hashed))
         numbers = iter(np.searchsorted(self.vocabulary, h).tolist() for h in hashed)
-        whole = [Template(label, next(numbers), [], True) for label in phrases]
+        whole = [Template(label, next(numbers), [], True, True) for label in phrases]
         parts = [Template(label, next(numbers), [], False) for label in notices]
         for template, (_, ps) in zip(parts, notices.values(), strict=True):
             template.phrases = [np.array(next(numbers)) for _ in ps]
-        self.templates = whole + parts
+        self.templates = whole + parts + [Template(label, next(numbers), [], True) for label, _ in lines]
         self.postings: dict[int, list[tuple[int, int]]] = {}
         self.is_anchor = np.zeros(len(self.vocabulary), bool)
 
@@ -124,10 +153,16 @@ class RareWordIndex:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def build(self, documents: int, frequency: dict[int, int]) -> RareWordIndex:
-        """Choose the anchors by idf: the rarest word of a phrase, the rarest ones of a notice."""
+        """Choose the anchors by idf: the rarest word of a phrase, the rarest ones of a notice.
+        Words that no document holds are no anchors: a notice can be found without them, but a
+        template that must have one is nowhere."""
         idf = [math.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in range(len(self.vocabulary))]
         for t, template in enumerate(self.templates):
-            rarest = sorted(set(template.words.tolist()), key=lambda w: (-idf[w], w))
+            must = template.words.tolist() if template.exact else [w for p in template.phrases for w in p.tolist()]
+            if not all(frequency.get(w, 0) for w in must):
+                continue
+            there = {w for w in template.words.tolist() if frequency.get(w, 0)}
+            rarest = sorted(there, key=lambda w: (-idf[w], w))
             template.anchors = rarest[: 1 if template.exact else ANCHORS]
             for w in template.anchors:
                 self.is_anchor[w] = True
@@ -154,7 +189,8 @@ class RareWordIndex:
                 at = np.array([a for a, _ in places if 0 <= a <= len(file) - n], dtype=np.int64)
                 if len(at):
                     whole = (file[at[:, None] + np.arange(n)] == template.words).all(axis=1)
-                    base += [(template.label, int(a)) for a in at[whole]]
+                    if template.base:
+                        base += [(template.label, int(a)) for a in at[whole]]
                     if whole.any():
                         labels[template.label] = 1.0
                 continue
@@ -220,11 +256,11 @@ def word_frequencies(docs: DataFrame, index: RareWordIndex) -> tuple[int, dict[i
     return counts.pop(len(index.vocabulary), 0), counts
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, list[str]]] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, list[str]]] = NOTICES, references: dict[str, list[str]] = REFERENCES) -> DataFrame:
     """Per document: doc_id, n_words, n_base (places of phrases), first_word, last_word (the
     smallest and largest of them), base_labels, labels (sorted, comma-joined) and score, the
     largest share of a template's words that was found."""
-    index = RareWordIndex(phrases, notices)
+    index = RareWordIndex(phrases, notices, references)
     index.build(*word_frequencies(docs, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
