@@ -65,3 +65,47 @@ def quality(text):
     seen = Counter(windows)
     covered = {j for i, x in enumerate(windows) if seen[x] > 1 for j in range(i, i + 3)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def threads(messages, split, least=3):
+    """By (conv_id, turn): (thread, level, all origins); messages are (conv_id, turn, text)."""
+
+    def normal(lines):
+        return " ".join(" ".join(lines).lower().split())
+
+    def paragraphs(lines):
+        out = [[]]
+        for line in lines:
+            out = out + [[]] if not line.strip() else [*out[:-1], [*out[-1], line]]
+        return [p for p in out if p]
+
+    said = {}
+    for conv, turn, text in sorted(messages, key=lambda m: m[:2]):
+        lines = split(text)[0].split("\n")
+        parts = [normal(p) for p in paragraphs(lines)] + [normal([line]) for line in lines]
+        for unit in {normal(lines), *(u for u in parts if len(u.split()) >= least)} - {""}:
+            said.setdefault(unit, []).append((conv, turn))
+
+    def origin(unit, conv, turn):
+        here = [p for p in said.get(unit, []) if p[0] == conv and p[1] < turn]
+        return (here or [p for p in said.get(unit, [])[:1] if p[0] < conv] or [None])[0]
+
+    links = {}
+    for conv, turn, text in messages:
+        to = links.setdefault((conv, turn), set())
+        for _, lines in split(text)[1]:
+            whole = origin(normal(lines), conv, turn)
+            for p in [] if whole else paragraphs(lines):
+                got = origin(normal(p), conv, turn) if len(normal(p).split()) >= least else None
+                to |= {got} if got else {origin(normal([x]), conv, turn) for x in p if len(x.split()) >= least}
+            to |= {whole}
+        to.discard(None)
+    above = {}
+    for (conv, _), to in links.items():
+        above.setdefault(conv, set()).update(c for c, _ in to if c != conv)
+    level, root = {}, {c: c for c in above}
+    for conv in sorted(above):
+        level[conv] = max((level[c] + 1 for c in above[conv]), default=0)
+        met = {root[c] for c in above[conv]} | {root[conv]}
+        root = {c: min(met) if r in met else r for c, r in root.items()}
+    return {(c, t): (root[c], level[c], sorted(to)) for (c, t), to in links.items()}

@@ -117,6 +117,30 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_quotes_all_links(spark):
+    said = {1: "the first conversation starts", 2: "> the first conversation starts\nsecond says other things", 3: "> second says other things\nthird is here now"}
+    rows = [(c, 0, t) for c, t in said.items()] + [(4, 0, "> the first conversation starts\nyes\n> third is here now\nno")]
+    rows += [(10, 0, "something quite apart"), (11, 0, "another apart thing"), (12, 0, "> something quite apart\n>\n> another apart thing\nboth of these")]
+    rng = np.random.default_rng(8)
+    for c in range(20, 90):
+        for t in range(2):
+            text = [f"own words of {c} and {t}", "", f"more of {c} in {t}"]
+            for d in rng.choice(np.arange(20, c), min(c - 20, int(rng.integers(0, 4))), replace=False).tolist() if c % 7 else []:
+                k = int(rng.integers(0, 5))
+                quote = [["> own words of {} and 0"], ["> own words of {} and 1", "> ", "> more of {} in 1"], ["> > more of {} in 0"], ["> not said", "> more of {} in 1"], ["> own words of {} and 0", ">", "> own words of 20 and 1"]][k]
+                text += [q.format(d) for q in quote] + [f"so {c} {t} {d}"]
+            rows.append((c, t, "\n".join(text)))
+    rows += [(c, 0, f"> chain link {c - 1}\nchain link {c}") for c in range(201, 221)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))
+    out = quotes.formatted(df).orderBy("thread_id", "level", "conv_id", "turn").collect()
+    got = {(r["conv_id"], r["turn"]): (r["thread_id"], r["level"], [tuple(x) for x in r["links"] or []]) for r in out}
+    assert got == brute.threads(rows, quotes.split_levels)
+    assert got[4, 0] == (1, 3, [(1, 0), (3, 0)]) and got[12, 0] == (10, 1, [(10, 0), (11, 0)]) and got[11, 0][0] == 10 and got[220, 0][1] == 19
+    place = {(r["conv_id"], r["turn"]): i for i, r in enumerate(out)}
+    assert all(place[to] < place[m] for m, (_, _, links) in got.items() for to in links)
+    assert all(r["n_links"] == len(r["links"] or []) for r in out)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there my friends\nsecond line of text"), (1, 1, "assistant", "> Hello there my friends\nI reply to that now"),
