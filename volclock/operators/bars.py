@@ -2,42 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _bar_numbers(volume: np.ndarray, threshold: float) -> np.ndarray:
-    """Number of each row's bar, -1 after the last whole one. What exceeds the threshold is
-    dropped, so each bar's end is found from its start by one search in the running sum."""
+def _bar_numbers(volume: np.ndarray, threshold: float, held: float = 0, bar: int = 0) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Number of each row's bar, whether the row closes it, and the volume and number of the bar
+    that stays open; ``held`` and ``bar`` are those of the rows before. What exceeds the threshold
+    is dropped, so each bar's end is found from its start by one search in the running sum."""
     total = np.concatenate([[0], np.cumsum(volume)])
-    number = np.full(len(volume), -1, np.int64)
-    start = bar = 0
+    number = np.full(len(volume), bar, np.int64)
+    closes = np.zeros(len(volume), bool)
+    start = 0
     while start < len(volume):
-        end = int(np.searchsorted(total, total[start] + threshold, "left"))
+        end = int(np.searchsorted(total, total[start] + threshold - held, "left"))
         end = max(end, start + 1)
         if end > len(volume):
+            number[start:] = bar
+            held += (total[-1] - total[start]).item()
             break
         number[start:end] = bar
-        start, bar = end, bar + 1
-    return number
+        closes[end - 1] = True
+        start, bar, held = end, bar + 1, 0
+    return number, closes, held, bar
 
 
 def volume_bars(df: DataFrame, threshold: float = 1500, volume: str = "tick_volume") -> DataFrame:
     """symbol, bar_id, time (of the last candle), open, high, low, close, volume, spread
-    (weighed by volume) and bar_count. Numbering is sequential within a symbol and needs only
-    time and volume; the aggregation is an ordinary one."""
+    (weighed by volume) and bar_count. Numbering is sequential within a symbol, but Spark sorts
+    its rows (on disk where they exceed memory) and they pass batch by batch, while only the
+    open bar's number and volume are held; the aggregation is an ordinary one."""
+    names = df.columns
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        pdf["bar_id"] = _bar_numbers(pdf[volume].fillna(0).to_numpy(), threshold)
-        return pdf[pdf["bar_id"] >= 0]
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, held, bar = object(), 0, 0
+        for batch in batches:
+            volumes = np.nan_to_num(pc.fill_null(batch.column(names.index(volume)), 0).to_numpy(zero_copy_only=False))
+            runs = pc.run_end_encode(batch.column(names.index("symbol")))
+            numbers, closed, start = [], [], 0
+            for end, now in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if now != symbol:
+                    symbol, held, bar = now, 0, 0
+                n, c, held, bar = _bar_numbers(volumes[start:end], threshold, held, bar)
+                numbers.append(n)
+                closed.append(c)
+                start = end
+            if numbers:
+                columns = [*batch.columns, pa.array(np.concatenate(numbers)), pa.array(np.concatenate(closed))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "bar_id", "_closes"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["bar_id long"])
-    numbered = df.groupBy("symbol").applyInPandas(number, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["bar_id long", "_closes boolean"])
+    in_order = df.repartition("symbol").sortWithinPartitions("symbol", F.col("time").asc_nulls_last())
+    numbered = in_order.mapInArrow(number, schema)
     v = F.col(volume)
-    return numbered.groupBy("symbol", "bar_id").agg(
+    bars = numbered.groupBy("symbol", "bar_id").agg(
         F.max("time").alias("time"),
         F.min_by("open", "time").alias("open"),
         F.max("high").alias("high"),
@@ -46,7 +69,9 @@ def volume_bars(df: DataFrame, threshold: float = 1500, volume: str = "tick_volu
         F.sum(v).alias("tick_volume"),
         (F.sum(F.col("spread") * v) / F.nullif(F.sum(v).cast("double"), F.lit(0.0))).alias("spread"),
         F.count("*").alias("bar_count"),
+        F.max("_closes").alias("_closes"),
     )
+    return bars.filter("_closes").drop("_closes")
 
 
 def tick_bars(df: DataFrame, threshold: float = 1000) -> DataFrame:
