@@ -117,6 +117,14 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_nearest_repeated_rows(spark):
+    ids = [ann.SALTS * i for i in range(40)]  # all in one salt
+    rows = [(i, [1.0, 2.0]) for i in ids for _ in range(60 if i == 0 else 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    (entry,) = ann.entries(ann.usable(df), 20).collect()
+    assert entry["ids"] == ids[:21]
+
+
 def test_quotes_all_links(spark):
     said = {1: "the first conversation starts", 2: "> the first conversation starts\nsecond says other things", 3: "> second says other things\nthird is here now"}
     rows = [(c, 0, t) for c, t in said.items()] + [(4, 0, "> the first conversation starts\nyes\n> third is here now\nno")]

@@ -82,7 +82,8 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
     """digest, v, ids: the k + 1 smallest ids of each different vector."""
     salted = Window.partitionBy("digest", F.pmod("vec_id", F.lit(SALTS))).orderBy("vec_id")
     whole = Window.partitionBy("digest").orderBy("vec_id")
-    once = rows.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= 2 * (k + 1)).dropDuplicates(["digest", "vec_id"])
+    # repeated rows share a rank
+    once = rows.withColumn("_r", F.dense_rank().over(salted)).filter(F.col("_r") <= k + 1).dropDuplicates(["digest", "vec_id"])
     least = once.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= k + 1)
     return least.groupBy("digest").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
