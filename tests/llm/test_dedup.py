@@ -43,6 +43,14 @@ def test_one_of_each_group(spark):
     assert ngram_join.one_of_each_group(awkward.empty(spark)).collect() == []
 
 
+def test_one_of_each_group_by_text(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(1, a), (1, b), (2, a + " more"), (2, c), (None, a), (None, None), (5, ""), (5, ""), (6, d), (6, d), (None, e), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in ngram_join.one_of_each_group(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (2, c), (None, None), (5, ""), (5, ""), (6, d), (None, e)])
+
+
 def test_substring(spark):
     for docs, window in ((awkward.documents(spark), 35), (awkward.documents(spark), 10), (spark.read.parquet(f"{SMALL}/documents.parquet"), 35)):
         assert got(substring.removal_report(docs, window=window)) == brute.substring(texts(docs), window)

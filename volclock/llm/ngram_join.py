@@ -277,8 +277,22 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERAT
 
 
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group; rows without words, or
-    without a doc_id in their group, all stay. Of repeated rows with that doc_id one stays."""
-    groups = similar_groups(docs, ngram, numerator, denominator)
-    gone = stored(groups.filter("n_shingles > 0 and component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "jac-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates()
+    """One row of ``docs`` for each group, and all rows without words, repeated ones too.
+
+    A row belongs to a group by its text, whatever its doc_id: other rows may share that, and it
+    may be null. The row with the smallest doc_id stays, one with null only if the group has no
+    other; among rows with that doc_id, the one with the smallest hash.
+    """
+    text, row = F.xxhash64("text").alias("_text_key"), F.xxhash64(*docs.columns).alias("_row_key")
+    rows, roots = linked_classes(docs.select(text.alias("doc_id"), "text"), ngram, numerator, denominator)
+    by_text = rows.filter("n > 0").select(F.col("doc_id").alias("_text_key"), "cls").distinct()
+    by_text = by_text.join(roots, by_text["cls"] == roots["node"], "left").select("_text_key", F.coalesce("root", "cls").alias("_group"))
+    wordless = rows.filter("n = 0").select(F.col("doc_id").alias("_text_key")).distinct()
+
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row_key"))
+    of_text = docs.select(F.col("doc_id").cast("long").alias("_id"), text, row).groupBy("_text_key").agg(least.alias("_least"))
+    first = of_text.join(by_text, "_text_key").groupBy("_group").agg(F.min(F.struct("_least", "_text_key")).alias("_m"))
+    first = stored(first.select("_m._text_key", F.col("_m._least._row_key").alias("_row_key")), "jac-kept")
+    kept = docs.select("*", text, row).join(first, ["_text_key", "_row_key"], "left_semi").dropDuplicates(["_text_key", "_row_key"])
+    others = docs.select("*", text).join(stored(wordless, "jac-wordless"), "_text_key", "left_semi")
+    return kept.drop("_text_key", "_row_key").unionByName(others.drop("_text_key"))
