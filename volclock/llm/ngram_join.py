@@ -3,86 +3,106 @@
 If two sets have a Jaccard similarity of at least t, then under ANY order of all tokens their
 prefixes (the first n - ceil(t n) + 1 tokens of a set of n) share a token. The orders used
 here sort tokens by a frequency table first (rare ones to the front) and then by one hash
-each. Candidates come from the first order's prefixes; those that don't share a prefix token
-under the other orders, or differ too much in size, are dropped; the rest is verified on the
-whole sets.
+each. Candidates come from the first order's prefixes, together with their places there; those
+that don't share enough prefix tokens under the other orders are dropped; the rest is verified
+on the whole sets.
 
 - Texts with equal sets are one class; only classes are joined.
-- The frequency table holds the most frequent tokens of the prefixes of all documents, at most
-  ``TABLE`` of them. It decides on the order only, so its bound costs no results.
+- The frequency table merges summaries of heavy tokens of all documents and holds the most
+  frequent ``TABLE`` of them. It decides on the order only, so its bounds cost no results.
+- A match of two prefixes counts only where it can be the first token that both sets share:
+  sizes, places and a signature of parities are part of the join's condition, so that of a
+  long list of documents only likely pairs become rows.
 - Thousands of near copies share thousands of tokens. Their pairs are not enumerated: classes
-  are verified against a few hubs of each token's list first, and after that only candidates
+  are verified against two hubs of each token's list first, and after that only candidates
   from different components, which is all that the components of the graph depend on.
 
 Defined results: null text, and text without words, has an empty set and links with nothing; a
-text with fewer words than the n-gram is one token; a null doc_id is a document like others;
-repeated rows are linked with each other; an empty table gives an empty result.
+text with fewer words than the n-gram is one token; texts of any length are used whole; a null
+doc_id is a document like others; repeated rows are linked with each other; an empty table
+gives an empty result. Columns of the caller keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volclock.llm.bloom import Bloom
 from volclock.llm.components import components
-from volclock.llm.scratch import stored
+from volclock.llm.scratch import Temporary, stored
+from volclock.llm.text import fresh
 from volclock.llm.wordhash import LOWER, WordHasher, chunks, mix64
 
 NGRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 ORDERS = 3
-#: Tokens in the frequency table: at most 1.5 MB, sent to every worker.
+#: Tokens in the frequency table: at most 1.6 MB, sent to every worker.
 TABLE = 100_000
-#: Prefix tokens that fewer documents hold than this count as rare.
+#: Tokens that fewer documents hold than this count as rare.
 FREQUENT = 24
-FILTER_BITS = 1 << 25
-#: Words of 64 bits in a parity signature.
-PARITY = 8
+#: So many tokens are summarised at a time, by the counts of at most so many of them.
+SUMMARISED, SUMMARY = 1 << 21, 1 << 16
+#: A task emits the prefix of a class once, as far as it remembers its last classes.
+REMEMBERED = 200_000
 
 
-def _sets(batch: pa.RecordBatch, hasher: WordHasher, ngram: int, column: int = 0) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    """The sorted set of hashed n-grams of each text, for slices of a batch."""
-    for part, texts in chunks(batch, column):
+class Sets:
+    """The sorted sets of hashed n-grams of some texts, one after the other in ``tokens``."""
+
+    def __init__(self, texts: list[bytes], hasher: WordHasher, ngram: int):
         words = hasher(texts)
         grams = words.runs(ngram)
-        sets = []
-        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        found = []
+        for a, b in pairwise(words.first.tolist()):
             if b - a >= ngram:
-                sets.append(np.unique(grams[a : b - ngram + 1]))
-            elif b > a:
-                whole = np.frombuffer(hashlib.blake2b(words.hashes[a:b].tobytes(), digest_size=8).digest(), np.uint64)
-                sets.append(whole)
+                found.append(np.sort(grams[a : b - ngram + 1]))
             else:
-                sets.append(np.empty(0, np.uint64))
-        yield part, sets
-
+                digest = hashlib.blake2b(words.hashes[a:b].tobytes(), digest_size=8).digest()
+                found.append(np.frombuffer(digest if b > a else b"", np.uint64))
+        tokens, of = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])
+        self.tokens = tokens[new]
+        self.sizes = np.bincount(of[new], minlength=len(found))
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def of(self, values: np.ndarray) -> list[np.ndarray]:
+        """``values``, which go with ``tokens``, for each set."""
+        return [values[a:b] for a, b in pairwise(self.first.tolist())]
+
+    def digests(self) -> list[bytes | None]:
+        return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in self.of(self.tokens)]
+
+    def parities(self) -> np.ndarray:
+        """Whether an odd number of tokens falls on each of 64 bits. Two signatures differ in
+        at most as many bits as the sets differ in tokens."""
+        out = np.zeros(len(self.sizes), np.uint64)
+        some = self.sizes > 0
+        if len(self.tokens):
+            bits = np.uint64(1) << (mix64(self.tokens) & np.uint64(63))
+            out[some] = np.bitwise_xor.reduceat(bits, self.first[:-1][some])
+        return out.view(np.int64)
 
-def _digest(tokens: np.ndarray) -> int | None:
-    """The class of a set: 64 bits, as many as its tokens have."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
+    def prefixes(self, order: Order, k: int, numerator: int, denominator: int) -> list[np.ndarray]:
+        """The first tokens of each set under the order k, in that order."""
+        out = []
+        for tokens, ranks in zip(self.of(self.tokens), self.of(order.ranks(self.tokens, k)), strict=True):
+            length = prefix_length(len(tokens), numerator, denominator) if len(tokens) else 0
+            least = np.argpartition(ranks, length - 1)[:length] if 0 < length < len(tokens) else np.arange(length)
+            out.append(tokens[least[np.argsort(ranks[least], kind="stable")]])
+        return out
 
 
 def prefix_length(n: int, numerator: int, denominator: int) -> int:
     return n - -(-numerator * n // denominator) + 1
 
 
-def _parity(tokens: np.ndarray) -> np.ndarray:
-    """Whether an odd number of tokens falls on each of 64 * PARITY bits. Two signatures differ
-    in at most as many bits as the sets differ in tokens."""
-    bits = np.bincount((mix64(tokens) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def _prefix(tokens: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    if length >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(rank, length - 1)[:length]]
-
-
 class Order:
     """Global orders of tokens: rare ones by a hash, then the table's by their frequency."""
 
@@ -98,17 +118,33 @@ class Order:
         return salted
 
 
-def frequency_table(docs: DataFrame, ngram: int, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent prefix tokens of all documents, sorted, with their counts (24 bits)."""
+def summary(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The heavy ones of some tokens with their counts, none of which is over the true one, and
+    none under it by more than one, or a ``SUMMARY``-th of all tokens (Misra and Gries)."""
+    value, n = np.unique(tokens, return_counts=True)
+    n -= max(1, int(np.partition(n, -SUMMARY - 1)[-SUMMARY - 1])) if len(n) > SUMMARY else 1
+    return value[n > 0], n[n > 0] + 1
+
+
+def frequency_table(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens of all documents, sorted, with their counts (24 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order = WordHasher(fold=LOWER), Order((np.empty(0, np.uint64), np.empty(0, np.uint64)))
+        hasher = WordHasher(fold=LOWER)
+        held: list[np.ndarray] = []
+
+        def heavy() -> pa.RecordBatch:
+            value, n = summary(np.concatenate(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["token", "n"])
+
         for batch in batches:
-            for _, sets in _sets(batch, hasher, ngram):
-                found = [_prefix(s, order.ranks(s, 0), prefix_length(len(s), numerator, denominator)) for s in sets if len(s)]
-                if found:
-                    value, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["token", "n"])
+            for _, texts in chunks(batch):
+                held.append(Sets(texts, hasher, ngram).tokens)
+                if sum(map(len, held)) >= SUMMARISED:
+                    yield heavy()
+        if held:
+            yield heavy()
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(TABLE).toArrow()
@@ -118,60 +154,140 @@ def frequency_table(docs: DataFrame, ngram: int, numerator: int, denominator: in
     return tokens[by_token], counts[by_token]
 
 
+def _lists(values: list[np.ndarray], absent: list[bool] | None = None) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)), mask=pa.array(absent) if absent else None)
+
+
 def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, table) -> DataFrame:
-    """Per document: doc_id, n (size of its set), cls (digest of its set), s0, s1, ... (parity
-    signature), p0, p1, ... (prefixes, from the second one on as distinct half hashes)."""
-    names = [f"s{i}" for i in range(PARITY)] + [f"p{k}" for k in range(ORDERS)]
+    """Per document: doc_id, n (size of its set), cls (digest of its set), sig (parities) and
+    prefix under the first order, null where the task has just shown it for the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order = WordHasher(fold=LOWER), Order(table.value)
+        hasher, order, shown = WordHasher(fold=LOWER), Order(table.value), set()
         for batch in batches:
-            for part, sets in _sets(batch, hasher, ngram, 1):
-                columns = [batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
-                signatures = np.stack([_parity(s) for s in sets])
-                columns += [pa.array(np.ascontiguousarray(signatures[:, i])) for i in range(PARITY)]
-                for k in range(ORDERS):
-                    prefixes = [_prefix(s, order.ranks(s, k), prefix_length(len(s), numerator, denominator)) if len(s) else s for s in sets]
-                    # the other orders only rule pairs out, for which half of a hash does
-                    prefixes = [np.unique(p.view(np.int64).astype(np.int32)) if k else p.view(np.int64) for p in prefixes]
-                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                    values = np.concatenate(prefixes)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *names])
-
-    schema = "doc_id long, n long, cls long" + "".join(f", s{i} long" for i in range(PARITY)) + "".join(f", {p} array<{'int' if k else 'long'}>" for k, p in enumerate(names[PARITY:]))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """cls and its whole set (8 bytes a token) for ``wanted`` (cls and rep, one of its doc_ids).
+            for part, texts in chunks(batch, 1):
+                sets = Sets(texts, hasher, ngram)
+                digests, absent = sets.digests(), []
+                for d in digests:
+                    absent.append(d is None or d in shown)
+                    shown.add(d)
+                if len(shown) > REMEMBERED:
+                    shown.clear()
+                prefixes = [p.view(np.int64)[: 0 if gone else None] for p, gone in zip(sets.prefixes(order, 0, numerator, denominator), absent, strict=True)]
+                columns = [batch.column(0)[part], pa.array(sets.sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets.parities()), _lists(prefixes, absent)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "sig", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls binary, sig long, prefix array<long>")
+
+
+def shared_postings(rows: DataFrame, temporary: Temporary) -> DataFrame:
+    """token, cls, n, sig and place (in the prefix) of tokens that may be in several prefixes.
+
+    A Bloom filter drops the others before they travel; when it is full, more of them do."""
+    repeated = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    repeated = temporary.stored(repeated.select("token"), "jac-repeated")
+    sent = rows.sparkSession.sparkContext.broadcast(Bloom.of(repeated))
+    temporary.drop(repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(0)
+            token, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
+            place = np.arange(len(token)) - np.repeat(prefix.offsets.to_numpy()[:-1] - prefix.offsets[0].as_py(), np.diff(prefix.offsets.to_numpy()))
+            use = np.nonzero(sent.value.holds(token))[0]
+            row = pa.array(of[use])
+            columns = [pa.array(token[use]), *[batch.column(i).take(row) for i in (1, 2, 3)], pa.array(place[use])]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "sig", "place"])
+
+    lists = rows.filter("prefix is not null").select("prefix", "cls", "n", "sig")
+    return lists.mapInArrow(run, "token long, cls binary, n long, sig long, place long")
+
+
+def likely(a: dict[str, Column], b: dict[str, Column], numerator: int, denominator: int) -> Column:
+    """Whether two postings of a token can belong to similar sets and be the first that both
+    prefixes share.
+
+    Similar sets of n and m tokens have at least o = t (n + m) / (1 + t) in common, so at most
+    n + m - 2 o are in one of them only. All tokens before the first common one are, and as many
+    behind it as one set has there more than the other; so are as many as bits of parity differ.
+    """
+    n, m = a["n"], b["n"]
+    common = F.floor((numerator * (n + m) + (numerator + denominator - 1)) / F.lit(float(numerator + denominator)))
+    apart = n + m - 2 * common
+    behind = F.abs((n - a["place"]) - (m - b["place"]))
+    sizes = denominator * F.least(n, m) >= numerator * F.greatest(n, m)
+    return sizes & (a["place"] + b["place"] + behind <= apart) & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= apart)
+
+
+FIELDS = ("cls", "n", "sig", "place")
+
+
+def starred(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Likely pairs (a, b) of each token's classes with two hubs of its list, the first and the
+    last by class. Hubs are found by partial aggregates, and the join with them can be split."""
+    row = F.struct(*FIELDS)
+    hubs = postings.groupBy("token").agg(F.min(row).alias("_x"), F.max(row).alias("_y")).filter("_x.cls != _y.cls")
+    both = postings.join(hubs, "token").select(*FIELDS, F.explode(F.array("_x", "_y")).alias("hub"))
+    hub = {f: F.col(f"hub.{f}") for f in FIELDS}
+    own = {f: F.col(f) for f in FIELDS}
+    return both.filter((own["cls"] != hub["cls"]) & likely(own, hub, numerator, denominator)).select(F.col("cls").alias("a"), hub["cls"].alias("b"))
+
+
+def crossing(postings: DataFrame, roots: DataFrame, temporary: Temporary, numerator: int, denominator: int) -> DataFrame:
+    """Likely pairs (a, b) of different components."""
+    once = postings.join(roots, F.col("cls") == F.col("node"), "left").dropDuplicates(["cls", "token"])
+    named = temporary.stored(once.select("token", *FIELDS, F.coalesce("root", "cls").alias("root")), "jac-named")
+    mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
+    named = temporary.stored(named.join(mixed, "token"), "jac-mixed")
+    left, right = (named.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
+    a, b = ({f: F.col(f"{f}_{side}") for f in FIELDS} for side in "lr")
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely(a, b, numerator, denominator))
+    return met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b"))
+
+
+def member_sets(docs: DataFrame, wanted: DataFrame, ngram: int, numerator: int, denominator: int, table) -> DataFrame:
+    """cls, n, p1, p2, ... (prefixes under the other orders, as half hashes) and tokens (the
+    whole set, 8 bytes a token) for ``wanted`` (cls and rep, one of its doc_ids).
 
     Only texts that a Bloom filter of the representatives lets through are looked at again.
     """
-    spark = docs.sparkSession
-    cell = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
-    # at most FILTER_BITS / 64 rows of two numbers come to the driver
-    rows = (
-        wanted.select(cell("rep").alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("cell"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
-        .toArrow()
-    )
-    cells = np.zeros(FILTER_BITS // 64, np.int64)
-    cells[rows["cell"].to_numpy()] = rows["word"].to_numpy()
-    sent = spark.sparkContext.broadcast(cells.tobytes())
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("rep"))))
+    names = [f"p{k}" for k in range(1, ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = WordHasher(fold=LOWER), np.frombuffer(sent.value, np.int64)
+        hasher, order = WordHasher(fold=LOWER), Order(table.value)
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            for _, sets in _sets(batch.filter(pa.array(held[at >> 6] >> (at & 63) & 1 == 1)), hasher, ngram):
-                found = {_digest(s): s.tobytes() for s in sets if len(s)}
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "tokens"])
+            for _, texts in chunks(batch.filter(pa.array(bloom.value.holds(batch.column(1).to_numpy())))):
+                sets = Sets(texts, hasher, ngram)
+                # the other orders only rule pairs out, for which half of a hash does
+                halves = [_lists([np.unique(p.view(np.int64).astype(np.int32)) for p in sets.prefixes(order, k, numerator, denominator)]) for k in range(1, ORDERS)]
+                columns = [pa.array(sets.digests(), pa.binary()), pa.array(sets.sizes, pa.int64()), *halves, pa.array([s.tobytes() for s in sets.of(sets.tokens)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", *names, "tokens"])
+
+    schema = "cls binary, n long, " + "".join(f"{p} array<int>, " for p in names) + "tokens binary"
+    again = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, schema)
+    return again.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
-    looked_at = docs.select("text", cell(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls long, tokens binary")
-    return looked_at.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+
+def filtered(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens under the other orders.
+
+    The i-th common token of an order has at most n - o others before it in its set, so it lies
+    in a prefix of l tokens if i <= l - (n - o): both prefixes share all up to the smaller of
+    these numbers. Half hashes that agree within a prefix are subtracted.
+    """
+    common = f"(({numerator} * (_na + _nb) + {numerator + denominator - 1}) div {numerator + denominator})"
+    length = "({n} - ({numerator} * {n} + {denominator} - 1) div {denominator} + 1)"
+    la, lb = (length.format(n=n, numerator=numerator, denominator=denominator) for n in ("_na", "_nb"))
+    orders = range(1, ORDERS)
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(f"p{k}").alias(f"_p{side}{k}") for k in orders]), side)
+    enough = F.lit(True)
+    for k in orders:
+        least = F.expr(f"least({la} - _na, {lb} - _nb) + {common} - ({la} - size(_pa{k}))")
+        enough = enough & (F.size(F.array_intersect(f"_pa{k}", f"_pb{k}")) >= F.greatest(least, F.lit(1)))
+    return pairs.filter(enough).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -190,90 +306,45 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     first = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_x"))
     second = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_y"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
-def filtered(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that agree in size and in parity, and share enough prefix tokens under
-    the other orders, one order after the other.
-
-    Similar sets of n and m tokens have at least o = t (n + m) / (1 + t) in common, so at most
-    n + m - 2 o are in one of them only, which bounds the bits that their signatures differ in.
-    The i-th common token of an order has at most n - o others before it in its set, so it lies
-    in a prefix of l tokens if i <= l - (n - o): both prefixes share all up to the smaller of
-    these numbers. Half hashes that agree within a prefix are subtracted.
-    """
-    common = f"(({numerator} * (_na + _nb) + {numerator + denominator - 1}) div {numerator + denominator})"
-    length = "({n} - ({numerator} * {n} + {denominator} - 1) div {denominator} + 1)"
-    la, lb = (length.format(n=n, numerator=numerator, denominator=denominator) for n in ("_na", "_nb"))
-    sizes = F.lit(denominator) * F.least("_na", "_nb") >= F.lit(numerator) * F.greatest("_na", "_nb")
-    differing = F.expr(" + ".join(f"bit_count(_sa{i} ^ _sb{i})" for i in range(PARITY)))
-    alike = sizes & (differing <= F.expr(f"_na + _nb - 2 * {common}"))
-    least = F.expr(f"least({la} - _na, {lb} - _nb) + {common} - ({la} - size(_pa))")
-
-    def of(side: str, names: dict[str, str]) -> DataFrame:
-        return classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(c).alias(f"{k}") for c, k in names.items()])
-
-    for side in ("a", "b"):
-        pairs = pairs.join(of(side, {f"s{i}": f"_s{side}{i}" for i in range(PARITY)}), side)
-    pairs = pairs.filter(alike).select("a", "b")
-    for k in range(1, ORDERS):
-        both = pairs
-        for side in ("a", "b"):
-            both = both.join(of(side, {f"p{k}": f"_p{side}"}), side)
-        pairs = both.filter(F.size(F.array_intersect("_pa", "_pb")) >= F.greatest(least, F.lit(1))).select("a", "b")
-    return pairs
-
-
-def linked_classes(docs: DataFrame, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n and cls of each document; node and root of each class that is linked)."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequency_table(docs, ngram, numerator, denominator))
-    rows = stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
-
-    # copies meet on the map side already, so that none of them is shuffled twice by a task
-    columns = [c for c in rows.columns if c != "doc_id"]
-    classes = stored(rows.filter("n > 0").groupBy(*columns).agg(F.min("doc_id").alias("rep")), "jac-classes")
-    postings = classes.select(F.explode("p0").alias("token"), "cls", "n")
-    ends = postings.groupBy("token").agg(F.min("cls").alias("_x"), F.max("cls").alias("_y")).filter("_x != _y")
-    shared = stored(postings.join(ends, "token").distinct(), "jac-shared")
+    table = spark.sparkContext.broadcast(frequency_table(docs, ngram))
+    rows = temporary.stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    postings = shared_postings(rows, temporary)
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stored(filtered(pairs, classes, numerator, denominator), f"{name}-candidates")
+        pairs = temporary.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
         members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        members = stored(members.join(classes.select("cls", "rep"), "cls"), f"{name}-members")
-        if members.isEmpty():
-            return pairs
-        return stored(verified(pairs, whole_sets(docs, members, ngram), numerator, denominator), name)
-
-    # each token's classes against two hubs of its list (its first and last by class hash)
-    starred = shared.select(F.col("cls").alias("a"), F.explode(F.array("_x", "_y")).alias("b")).filter("a != b")
-    links = check(starred, "jac-starred")
+        members = temporary.stored(members.join(reps, "cls"), f"{name}-members")
+        sets = temporary.stored(member_sets(docs, members, ngram, numerator, denominator, table), f"{name}-sets")
+        links = temporary.stored(verified(filtered(pairs, sets, numerator, denominator), sets, numerator, denominator), name)
+        temporary.drop(pairs, members, sets)
+        return links
 
+    links = check(starred(postings, numerator, denominator), "jac-starred")
     # what is left: candidates from different components
-    roots = stored(components(links), "jac-roots")
-    named = shared.join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    named = stored(named, "jac-named")
-    mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
-    named = named.join(mixed, "token")
-    left, right = named.select("token", F.col("cls").alias("a"), F.col("root").alias("_r"), F.col("n").alias("_n")), named.select("token", F.col("cls").alias("b"), F.col("root").alias("_s"), F.col("n").alias("_m"))
-    alike = F.lit(denominator) * F.least("_n", "_m") >= F.lit(numerator) * F.greatest("_n", "_m")
-    crossing = left.join(right, "token").filter((F.col("_r") < F.col("_s")) & alike).select("a", "b")
-    more = check(crossing, "jac-crossing")
-    return rows.select("doc_id", "n", "cls"), components(links.unionByName(more))
+    roots = components(links, temporary.stored)
+    more = check(crossing(postings, roots, temporary, numerator, denominator), "jac-crossing")
+    return rows.select("doc_id", "n", "cls"), components(links.unionByName(more), temporary.stored)
 
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    rows, roots = linked_classes(docs, ngram, numerator, denominator)
-    by_class = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("_first"))
-    by_class = by_class.join(roots, by_class["cls"] == roots["node"], "left").select("cls", "_first", F.coalesce("root", "cls").alias("_root"))
-    by_class = stored(by_class, "jac-first")
-    least = by_class.groupBy("_root").agg(F.min("_first").alias("_least"))
-    named = by_class.join(least, "_root").select(F.col("cls").alias("_cls"), "_least")
-    joined = rows.join(named, F.col("cls") == F.col("_cls"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+    with Temporary(docs.sparkSession) as temporary:
+        rows, roots = linked_classes(docs, temporary, ngram, numerator, denominator)
+        by_class = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("_first"))
+        by_class = by_class.join(roots, by_class["cls"] == roots["node"], "left").select("cls", "_first", F.coalesce("root", "cls").alias("_root"))
+        by_class = temporary.stored(by_class, "jac-first")
+        least = by_class.groupBy("_root").agg(F.min("_first").alias("_least"))
+        named = by_class.join(least, "_root").select(F.col("cls").alias("_cls"), "_least")
+        joined = rows.join(named, F.col("cls") == F.col("_cls"), "left")
+        component = F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id"))
+        return stored(joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "jac-groups")
 
 
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -283,16 +354,17 @@ def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUME
     may be null. The row with the smallest doc_id stays, one with null only if the group has no
     other; among rows with that doc_id, the one with the smallest hash.
     """
-    text, row = F.xxhash64("text").alias("_text_key"), F.xxhash64(*docs.columns).alias("_row_key")
-    rows, roots = linked_classes(docs.select(text.alias("doc_id"), "text"), ngram, numerator, denominator)
-    by_text = rows.filter("n > 0").select(F.col("doc_id").alias("_text_key"), "cls").distinct()
-    by_text = by_text.join(roots, by_text["cls"] == roots["node"], "left").select("_text_key", F.coalesce("root", "cls").alias("_group"))
-    wordless = rows.filter("n = 0").select(F.col("doc_id").alias("_text_key")).distinct()
-
-    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row_key"))
-    of_text = docs.select(F.col("doc_id").cast("long").alias("_id"), text, row).groupBy("_text_key").agg(least.alias("_least"))
-    first = of_text.join(by_text, "_text_key").groupBy("_group").agg(F.min(F.struct("_least", "_text_key")).alias("_m"))
-    first = stored(first.select("_m._text_key", F.col("_m._least._row_key").alias("_row_key")), "jac-kept")
-    kept = docs.select("*", text, row).join(first, ["_text_key", "_row_key"], "left_semi").dropDuplicates(["_text_key", "_row_key"])
-    others = docs.select("*", text).join(stored(wordless, "jac-wordless"), "_text_key", "left_semi")
-    return kept.drop("_text_key", "_row_key").unionByName(others.drop("_text_key"))
+    by_text, by_row = fresh(docs, "text_key", "row_key")
+    text, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    keys = docs.select(text.alias("text_key"), row.alias("row_key"), F.col("doc_id").cast("long").alias("id"))
+    with Temporary(docs.sparkSession) as temporary:
+        rows, roots = linked_classes(docs.select(text.alias("doc_id"), "text"), temporary, ngram, numerator, denominator)
+        groups = rows.filter("n > 0").select(F.col("doc_id").alias("text_key"), "cls").distinct()
+        groups = groups.join(roots, groups["cls"] == roots["node"], "left").select("text_key", F.coalesce("root", "cls").alias("group"))
+        wordless = stored(rows.filter("n = 0").select(F.col("doc_id").alias(by_text)).distinct(), "jac-wordless")
+        of_text = keys.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"))
+        first = of_text.join(groups, "text_key").groupBy("group").agg(F.min(F.struct("least", "text_key")).alias("m"))
+        kept = stored(first.select(F.col("m.text_key").alias(by_text), F.col("m.least.row_key").alias(by_row)), "jac-kept")
+    keyed = docs.withColumns({by_text: text, by_row: row})
+    one = keyed.join(kept, [by_text, by_row], "left_semi").dropDuplicates([by_text, by_row])
+    return one.unionByName(keyed.join(wordless, by_text, "left_semi")).select(*docs.columns)

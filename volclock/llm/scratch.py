@@ -28,12 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/volclock-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: losing an executor later costs a read, not the whole history.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/volclock-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, name)[0]
+
+
+class Temporary:
+    """Stored tables that are removed at the end of a ``with`` block, or earlier by ``drop``.
+
+    Whatever a result still has to read must be stored outside of the block's tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Temporary:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in self._held])
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self._held.append(_written(df, name))
+        return self._held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        gone = [path for df, path in self._held if any(df is t for t in tables)]
+        self._held = [(df, path) for df, path in self._held if path not in gone]
+        context = self._spark.sparkContext
+        for path in gone:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
