@@ -48,6 +48,8 @@ TABLE = 100_000
 FREQUENT = 24
 #: So many tokens are summarised at a time, by the counts of at most so many of them.
 SUMMARISED, SUMMARY = 1 << 21, 1 << 16
+#: Words of 64 bits in a signature.
+PARITY = 4
 #: A task emits the prefix of a class once, as far as it remembers its last classes.
 REMEMBERED = 200_000
 
@@ -79,15 +81,17 @@ class Sets:
     def digests(self) -> list[bytes | None]:
         return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in self.of(self.tokens)]
 
-    def parities(self) -> np.ndarray:
-        """Whether an odd number of tokens falls on each of 64 bits. Two signatures differ in
-        at most as many bits as the sets differ in tokens."""
-        out = np.zeros(len(self.sizes), np.uint64)
+    def parities(self) -> list[np.ndarray]:
+        """Whether an odd number of tokens falls on each of 64 * PARITY bits. Two signatures
+        differ in at most as many bits as the sets differ in tokens."""
+        out = np.zeros((PARITY, len(self.sizes)), np.uint64)
         some = self.sizes > 0
         if len(self.tokens):
-            bits = np.uint64(1) << (mix64(self.tokens) & np.uint64(63))
-            out[some] = np.bitwise_xor.reduceat(bits, self.first[:-1][some])
-        return out.view(np.int64)
+            at = mix64(self.tokens)
+            bits, word = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(6)) % np.uint64(PARITY)
+            for k in range(PARITY):
+                out[k, some] = np.bitwise_xor.reduceat(np.where(word == k, bits, np.uint64(0)), self.first[:-1][some])
+        return list(out.view(np.int64))
 
     def prefixes(self, order: Order, k: int, numerator: int, denominator: int) -> list[np.ndarray]:
         """The first tokens of each set under the order k, in that order."""
@@ -159,9 +163,14 @@ def _lists(values: list[np.ndarray], absent: list[bool] | None = None) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)), mask=pa.array(absent) if absent else None)
 
 
+SIGNATURE = [f"s{i}" for i in range(PARITY)]
+OTHERS = [f"p{k}" for k in range(1, ORDERS)]
+
+
 def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, table) -> DataFrame:
-    """Per document: doc_id, n (size of its set), cls (digest of its set), sig (parities) and
-    prefix under the first order, null where the task has just shown it for the same set."""
+    """Per document: doc_id, n (size of its set), cls (digest of its set), s0, s1, ... (parities),
+    prefix under the first order, and p1, p2, ... under the others as sorted half hashes. The
+    prefixes are null where the task has just shown them for the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order, shown = WordHasher(fold=LOWER), Order(table.value), set()
@@ -174,15 +183,19 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
                     shown.add(d)
                 if len(shown) > REMEMBERED:
                     shown.clear()
-                prefixes = [p.view(np.int64)[: 0 if gone else None] for p, gone in zip(sets.prefixes(order, 0, numerator, denominator), absent, strict=True)]
-                columns = [batch.column(0)[part], pa.array(sets.sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets.parities()), _lists(prefixes, absent)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "sig", "prefix"])
+                columns = [batch.column(0)[part], pa.array(sets.sizes, pa.int64()), pa.array(digests, pa.binary()), *map(pa.array, sets.parities())]
+                for k in range(ORDERS):
+                    lists = [p.view(np.int64)[: 0 if gone else None] for p, gone in zip(sets.prefixes(order, k, numerator, denominator), absent, strict=True)]
+                    # the other orders only rule pairs out, for which half of a hash does
+                    columns.append(_lists([np.unique(p.astype(np.int32)) for p in lists] if k else lists, absent))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *SIGNATURE, "prefix", *OTHERS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls binary, sig long, prefix array<long>")
+    schema = "doc_id long, n long, cls binary" + "".join(f", {s} long" for s in SIGNATURE) + ", prefix array<long>" + "".join(f", {p} array<int>" for p in OTHERS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def shared_postings(rows: DataFrame, temporary: Temporary) -> DataFrame:
-    """token, cls, n, sig and place (in the prefix) of tokens that may be in several prefixes.
+    """token, cls, n, place (in the prefix) and signature for tokens that may be in several prefixes.
 
     A Bloom filter drops the others before they travel; when it is full, more of them do."""
     repeated = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
@@ -197,80 +210,82 @@ def shared_postings(rows: DataFrame, temporary: Temporary) -> DataFrame:
             place = np.arange(len(token)) - np.repeat(prefix.offsets.to_numpy()[:-1] - prefix.offsets[0].as_py(), np.diff(prefix.offsets.to_numpy()))
             use = np.nonzero(sent.value.holds(token))[0]
             row = pa.array(of[use])
-            columns = [pa.array(token[use]), *[batch.column(i).take(row) for i in (1, 2, 3)], pa.array(place[use])]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "sig", "place"])
+            columns = [pa.array(token[use]), pa.array(place[use]), *[c.take(row) for c in batch.columns[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "place", "cls", "n", *SIGNATURE])
+
+    lists = rows.filter("prefix is not null").select("prefix", "cls", "n", *SIGNATURE)
+    return lists.mapInArrow(run, "token long, place long, cls binary, n long" + "".join(f", {s} long" for s in SIGNATURE))
 
-    lists = rows.filter("prefix is not null").select("prefix", "cls", "n", "sig")
-    return lists.mapInArrow(run, "token long, cls binary, n long, sig long, place long")
 
+def apart(n: Column, m: Column, numerator: int, denominator: int) -> Column:
+    """How many tokens can be in only one of two similar sets of n and m tokens, as they have at
+    least t (n + m) / (1 + t) in common."""
+    common = F.floor((numerator * (n + m) + (numerator + denominator - 1)) / F.lit(float(numerator + denominator)))
+    return n + m - 2 * common
 
-def likely(a: dict[str, Column], b: dict[str, Column], numerator: int, denominator: int) -> Column:
-    """Whether two postings of a token can belong to similar sets and be the first that both
-    prefixes share.
 
-    Similar sets of n and m tokens have at least o = t (n + m) / (1 + t) in common, so at most
-    n + m - 2 o are in one of them only. All tokens before the first common one are, and as many
-    behind it as one set has there more than the other; so are as many as bits of parity differ.
-    """
+def alike(a: dict[str, Column], b: dict[str, Column], numerator: int, denominator: int) -> Column:
+    """Whether two sets can be similar, by their sizes and the bits in which their parities differ."""
     n, m = a["n"], b["n"]
-    common = F.floor((numerator * (n + m) + (numerator + denominator - 1)) / F.lit(float(numerator + denominator)))
-    apart = n + m - 2 * common
-    behind = F.abs((n - a["place"]) - (m - b["place"]))
-    sizes = denominator * F.least(n, m) >= numerator * F.greatest(n, m)
-    return sizes & (a["place"] + b["place"] + behind <= apart) & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= apart)
+    differing = sum((F.bit_count(a[s].bitwiseXOR(b[s])) for s in SIGNATURE), F.lit(0))
+    return (denominator * F.least(n, m) >= numerator * F.greatest(n, m)) & (differing <= apart(n, m, numerator, denominator))
 
 
-FIELDS = ("cls", "n", "sig", "place")
+def first_shared(a: dict[str, Column], b: dict[str, Column], numerator: int, denominator: int) -> Column:
+    """Whether a token can be the first that two similar sets share: all before it are in one of
+    them only, and so are as many behind it as one set has there more than the other."""
+    behind = F.abs((a["n"] - a["place"]) - (b["n"] - b["place"]))
+    return a["place"] + b["place"] + behind <= apart(a["n"], b["n"], numerator, denominator)
+
+
+FIELDS = ("cls", "n", "place", *SIGNATURE)
 
 
 def starred(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Likely pairs (a, b) of each token's classes with two hubs of its list, the first and the
-    last by class. Hubs are found by partial aggregates, and the join with them can be split."""
+    """Pairs (a, b) of each token's classes with two hubs of its list, the first and the last by
+    class, where alike. Hubs are found by partial aggregates; the join with them can be split."""
     row = F.struct(*FIELDS)
     hubs = postings.groupBy("token").agg(F.min(row).alias("_x"), F.max(row).alias("_y")).filter("_x.cls != _y.cls")
     both = postings.join(hubs, "token").select(*FIELDS, F.explode(F.array("_x", "_y")).alias("hub"))
     hub = {f: F.col(f"hub.{f}") for f in FIELDS}
     own = {f: F.col(f) for f in FIELDS}
-    return both.filter((own["cls"] != hub["cls"]) & likely(own, hub, numerator, denominator)).select(F.col("cls").alias("a"), hub["cls"].alias("b"))
+    return both.filter((own["cls"] != hub["cls"]) & alike(own, hub, numerator, denominator)).select(F.col("cls").alias("a"), hub["cls"].alias("b"))
 
 
 def crossing(postings: DataFrame, roots: DataFrame, temporary: Temporary, numerator: int, denominator: int) -> DataFrame:
-    """Likely pairs (a, b) of different components."""
+    """Pairs (a, b) of different components, alike and met at what may be their first shared token."""
     once = postings.join(roots, F.col("cls") == F.col("node"), "left").dropDuplicates(["cls", "token"])
     named = temporary.stored(once.select("token", *FIELDS, F.coalesce("root", "cls").alias("root")), "jac-named")
     mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
     named = temporary.stored(named.join(mixed, "token"), "jac-mixed")
     left, right = (named.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
     a, b = ({f: F.col(f"{f}_{side}") for f in FIELDS} for side in "lr")
-    met = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely(a, b, numerator, denominator))
+    likely = alike(a, b, numerator, denominator) & first_shared(a, b, numerator, denominator)
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely)
     return met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b"))
 
 
-def member_sets(docs: DataFrame, wanted: DataFrame, ngram: int, numerator: int, denominator: int, table) -> DataFrame:
-    """cls, n, p1, p2, ... (prefixes under the other orders, as half hashes) and tokens (the
-    whole set, 8 bytes a token) for ``wanted`` (cls and rep, one of its doc_ids).
+def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+    """cls and tokens (its whole set, 8 bytes a token) for ``wanted`` (cls and rep, one of its
+    doc_ids).
 
     Only texts that a Bloom filter of the representatives lets through are looked at again.
     """
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("rep"))))
-    names = [f"p{k}" for k in range(1, ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order = WordHasher(fold=LOWER), Order(table.value)
+        hasher = WordHasher(fold=LOWER)
         for batch in batches:
             for _, texts in chunks(batch.filter(pa.array(bloom.value.holds(batch.column(1).to_numpy())))):
                 sets = Sets(texts, hasher, ngram)
-                # the other orders only rule pairs out, for which half of a hash does
-                halves = [_lists([np.unique(p.view(np.int64).astype(np.int32)) for p in sets.prefixes(order, k, numerator, denominator)]) for k in range(1, ORDERS)]
-                columns = [pa.array(sets.digests(), pa.binary()), pa.array(sets.sizes, pa.int64()), *halves, pa.array([s.tobytes() for s in sets.of(sets.tokens)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", *names, "tokens"])
+                columns = [pa.array(sets.digests(), pa.binary()), pa.array([s.tobytes() for s in sets.of(sets.tokens)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens"])
 
-    schema = "cls binary, n long, " + "".join(f"{p} array<int>, " for p in names) + "tokens binary"
-    again = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, schema)
+    again = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls binary, tokens binary")
     return again.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def filtered(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def filtered(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) that share enough prefix tokens under the other orders.
 
     The i-th common token of an order has at most n - o others before it in its set, so it lies
@@ -282,7 +297,7 @@ def filtered(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     la, lb = (length.format(n=n, numerator=numerator, denominator=denominator) for n in ("_na", "_nb"))
     orders = range(1, ORDERS)
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(f"p{k}").alias(f"_p{side}{k}") for k in orders]), side)
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(f"p{k}").alias(f"_p{side}{k}") for k in orders]), side)
     enough = F.lit(True)
     for k in orders:
         least = F.expr(f"least({la} - _na, {lb} - _nb) + {common} - ({la} - size(_pa{k}))")
@@ -309,6 +324,10 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n and cls of each document; node and root of each class that is linked)."""
     spark = docs.sparkSession
@@ -319,18 +338,24 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = temporary.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
-        members = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        members = temporary.stored(members.join(reps, "cls"), f"{name}-members")
-        sets = temporary.stored(member_sets(docs, members, ngram, numerator, denominator, table), f"{name}-sets")
-        links = temporary.stored(verified(filtered(pairs, sets, numerator, denominator), sets, numerator, denominator), name)
-        temporary.drop(pairs, members, sets)
+        classes = rows.filter("prefix is not null").select("cls", "n", *OTHERS).join(_members(pairs), "cls", "left_semi").dropDuplicates(["cls"])
+        classes = temporary.stored(classes, f"{name}-classes")
+        near = temporary.stored(filtered(pairs, classes, numerator, denominator), f"{name}-near")
+        temporary.drop(pairs, classes)
+        members = temporary.stored(_members(near).join(reps, "cls"), f"{name}-members")
+        sets = temporary.stored(whole_sets(docs, members, ngram), f"{name}-sets")
+        links = temporary.stored(verified(near, sets, numerator, denominator), name)
+        temporary.drop(near, members, sets)
         return links
 
     links = check(starred(postings, numerator, denominator), "jac-starred")
     # what is left: candidates from different components
     roots = components(links, temporary.stored)
     more = check(crossing(postings, roots, temporary, numerator, denominator), "jac-crossing")
-    return rows.select("doc_id", "n", "cls"), components(links.unionByName(more), temporary.stored)
+    if not more.isEmpty():
+        stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.unionByName(more), temporary.stored)
+    return rows.select("doc_id", "n", "cls"), roots
 
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
