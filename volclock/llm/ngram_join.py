@@ -14,7 +14,7 @@ on the whole sets.
   sizes, places and a signature of parities are part of the join's condition, so that of a
   long list of documents only likely pairs become rows.
 - Thousands of near copies share thousands of tokens. Their pairs are not enumerated: classes
-  are verified against two hubs of each token's list first, and after that only candidates
+  are verified against one hub of each token's list first, and after that only candidates
   from different components, which is all that the components of the graph depend on.
 
 Defined results: null text, and text without words, has an empty set and links with nothing; a
@@ -194,27 +194,33 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def shared_postings(rows: DataFrame, temporary: Temporary) -> DataFrame:
-    """token, cls, n, place (in the prefix) and signature for tokens that may be in several prefixes.
-
-    A Bloom filter drops the others before they travel; when it is full, more of them do."""
+def repeated_tokens(rows: DataFrame, temporary: Temporary):
+    """A Bloom filter, sent to all workers, of the tokens that are in several prefixes."""
     repeated = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     repeated = temporary.stored(repeated.select("token"), "jac-repeated")
     sent = rows.sparkSession.sparkContext.broadcast(Bloom.of(repeated))
     temporary.drop(repeated)
+    return sent
+
+
+def postings(lists: DataFrame, repeated) -> DataFrame:
+    """token, place and the other columns for each token of ``prefix`` that may be in several
+    prefixes. Only these travel; when the filter is full, more of them do."""
+    others = lists.drop("prefix")
+    names = ["token", "place", *others.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefix = batch.column(0)
-            token, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
-            place = np.arange(len(token)) - np.repeat(prefix.offsets.to_numpy()[:-1] - prefix.offsets[0].as_py(), np.diff(prefix.offsets.to_numpy()))
-            use = np.nonzero(sent.value.holds(token))[0]
-            row = pa.array(of[use])
-            columns = [pa.array(token[use]), pa.array(place[use]), *[c.take(row) for c in batch.columns[1:]]]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "place", "cls", "n", *SIGNATURE])
+            starts, lengths = prefix.offsets.to_numpy()[:-1], np.diff(prefix.offsets.to_numpy())
+            token, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(prefix)), lengths)
+            place = np.arange(len(token)) - np.repeat(starts - starts[0], lengths) if len(token) else of
+            use = np.nonzero(repeated.value.holds(token))[0]
+            columns = [pa.array(token[use]), pa.array(place[use]), *[c.take(pa.array(of[use])) for c in batch.columns[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    lists = rows.filter("prefix is not null").select("prefix", "cls", "n", *SIGNATURE)
-    return lists.mapInArrow(run, "token long, place long, cls binary, n long" + "".join(f", {s} long" for s in SIGNATURE))
+    schema = ", ".join(["token long, place long", *[f"{f.name} {f.dataType.simpleString()}" for f in others.schema.fields]])
+    return lists.select("prefix", *others.columns).mapInArrow(run, schema)
 
 
 def apart(n: Column, m: Column, numerator: int, denominator: int) -> Column:
@@ -241,23 +247,22 @@ def first_shared(a: dict[str, Column], b: dict[str, Column], numerator: int, den
 FIELDS = ("cls", "n", "place", *SIGNATURE)
 
 
-def starred(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b) of each token's classes with two hubs of its list, the first and the last by
-    class, where alike. Hubs are found by partial aggregates; the join with them can be split."""
-    row = F.struct(*FIELDS)
-    hubs = postings.groupBy("token").agg(F.min(row).alias("_x"), F.max(row).alias("_y")).filter("_x.cls != _y.cls")
-    both = postings.join(hubs, "token").select(*FIELDS, F.explode(F.array("_x", "_y")).alias("hub"))
-    hub = {f: F.col(f"hub.{f}") for f in FIELDS}
-    own = {f: F.col(f) for f in FIELDS}
-    return both.filter((own["cls"] != hub["cls"]) & alike(own, hub, numerator, denominator)).select(F.col("cls").alias("a"), hub["cls"].alias("b"))
+def starred(lists: DataFrame, repeated, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of each token's classes with a hub of its list, the first by class, where
+    alike. Hubs are found by partial aggregates, and the join with them can be split."""
+    found = postings(lists, repeated)
+    hubs = found.groupBy("token").agg(F.min(F.struct(*FIELDS)).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub")
+    own, hub = ({f: F.col(f"{prefix}{f}") for f in FIELDS} for prefix in ("", "hub."))
+    met = found.join(hubs, "token").filter((own["cls"] != hub["cls"]) & alike(own, hub, numerator, denominator))
+    return met.select(F.col("cls").alias("a"), hub["cls"].alias("b"))
 
 
-def crossing(postings: DataFrame, roots: DataFrame, temporary: Temporary, numerator: int, denominator: int) -> DataFrame:
+def crossing(lists: DataFrame, repeated, roots: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b) of different components, alike and met at what may be their first shared token."""
-    once = postings.join(roots, F.col("cls") == F.col("node"), "left").dropDuplicates(["cls", "token"])
-    named = temporary.stored(once.select("token", *FIELDS, F.coalesce("root", "cls").alias("root")), "jac-named")
+    once = lists.dropDuplicates(["cls"]).join(roots, F.col("cls") == F.col("node"), "left")
+    named = postings(once.select(*lists.columns, F.coalesce("root", "cls").alias("root")), repeated)
     mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
-    named = temporary.stored(named.join(mixed, "token"), "jac-mixed")
+    named = named.join(mixed, "token")
     left, right = (named.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
     a, b = ({f: F.col(f"{f}_{side}") for f in FIELDS} for side in "lr")
     likely = alike(a, b, numerator, denominator) & first_shared(a, b, numerator, denominator)
@@ -334,7 +339,8 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
     table = spark.sparkContext.broadcast(frequency_table(docs, ngram))
     rows = temporary.stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    postings = shared_postings(rows, temporary)
+    lists = rows.filter("prefix is not null").select("prefix", "cls", "n", *SIGNATURE)
+    repeated = repeated_tokens(rows, temporary)
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = temporary.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
@@ -348,10 +354,10 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
         temporary.drop(near, members, sets)
         return links
 
-    links = check(starred(postings, numerator, denominator), "jac-starred")
+    links = check(starred(lists, repeated, numerator, denominator), "jac-starred")
     # what is left: candidates from different components
     roots = components(links, temporary.stored)
-    more = check(crossing(postings, roots, temporary, numerator, denominator), "jac-crossing")
+    more = check(crossing(lists, repeated, roots, numerator, denominator), "jac-crossing")
     if not more.isEmpty():
         stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(more), temporary.stored)
