@@ -8,8 +8,8 @@ that don't share enough prefix tokens under the other orders are dropped; the re
 on the whole sets.
 
 - Texts with equal sets are one class; only classes are joined.
-- The frequency table merges summaries of heavy tokens of all documents and holds the most
-  frequent ``TABLE`` of them. It decides on the order only, so its bounds cost no results.
+- The frequency table merges summaries of the repeated tokens of all documents and holds at
+  most ``TABLE`` of the most frequent. It decides on the order only: its bounds cost no results.
 - A match of two prefixes counts only where it can be the first token that both sets share:
   sizes, places and a signature of parities are part of the join's condition, so that of a
   long list of documents only likely pairs become rows.
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,8 @@ from volclock.llm.wordhash import LOWER, WordHasher, chunks, mix64
 
 NGRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 ORDERS = 3
-#: Tokens in the frequency table: at most 1.6 MB, sent to every worker.
-TABLE = 100_000
-#: Tokens that fewer documents hold than this count as rare.
-FREQUENT = 24
+#: Tokens in the frequency table: at most 16 MB come to the driver and to every worker.
+TABLE = 1_000_000
 #: So many tokens are summarised at a time, by the counts of at most so many of them.
 SUMMARISED, SUMMARY = 1 << 21, 1 << 16
 #: Words of 64 bits in a signature.
@@ -93,10 +91,10 @@ class Sets:
                 out[k, some] = np.bitwise_xor.reduceat(np.where(word == k, bits, np.uint64(0)), self.first[:-1][some])
         return list(out.view(np.int64))
 
-    def prefixes(self, order: Order, k: int, numerator: int, denominator: int) -> list[np.ndarray]:
+    def prefixes(self, frequencies: np.ndarray, k: int, numerator: int, denominator: int) -> list[np.ndarray]:
         """The first tokens of each set under the order k, in that order."""
         out = []
-        for tokens, ranks in zip(self.of(self.tokens), self.of(order.ranks(self.tokens, k)), strict=True):
+        for tokens, ranks in zip(self.of(self.tokens), self.of(Order.ranks(self.tokens, frequencies, k)), strict=True):
             length = prefix_length(len(tokens), numerator, denominator) if len(tokens) else 0
             least = np.argpartition(ranks, length - 1)[:length] if 0 < length < len(tokens) else np.arange(length)
             out.append(tokens[least[np.argsort(ranks[least], kind="stable")]])
@@ -113,13 +111,16 @@ class Order:
     def __init__(self, table: tuple[np.ndarray, np.ndarray]):
         self.tokens, self.counts = table
 
-    def ranks(self, tokens: np.ndarray, order: int) -> np.ndarray:
+    def frequencies(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.uint64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], np.uint64(0))
+
+    @staticmethod
+    def ranks(tokens: np.ndarray, frequencies: np.ndarray, order: int) -> np.ndarray:
         salted = mix64(tokens ^ np.uint64((order + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(24)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            known = self.tokens[at] == tokens
-            salted += np.where(known, self.counts[at], np.uint64(0)) << np.uint64(40)
-        return salted
+        return salted + (frequencies << np.uint64(40))
 
 
 def summary(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,7 @@ def summary(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value[n > 0], n[n > 0] + 1
 
 
-def frequency_table(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+def frequency_table(docs: DataFrame, temporary: Temporary, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens of all documents, sorted, with their counts (24 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,12 @@ def frequency_table(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray
             yield heavy()
 
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(TABLE).toArrow()
+    counted = temporary.stored(counted, "jac-counts")
+    # the least count that the table has room for, from at most 4096 rows
+    levels = counted.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()
+    room = [r["n"] for r, held in zip(levels, accumulate(r["count"] for r in levels), strict=True) if held <= TABLE]
+    top = counted.filter(F.col("n") >= (room[-1] if room else 1 << 62)).toArrow()
+    temporary.drop(counted)
     tokens = top["token"].to_numpy().view(np.uint64)
     counts = np.minimum(top["n"].to_numpy(), (1 << 24) - 1).astype(np.uint64)
     by_token = np.argsort(tokens)
@@ -177,7 +183,7 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
         for batch in batches:
             for part, texts in chunks(batch, 1):
                 sets = Sets(texts, hasher, ngram)
-                digests, absent = sets.digests(), []
+                digests, frequencies, absent = sets.digests(), order.frequencies(sets.tokens), []
                 for d in digests:
                     absent.append(d is None or d in shown)
                     shown.add(d)
@@ -185,7 +191,7 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
                     shown.clear()
                 columns = [batch.column(0)[part], pa.array(sets.sizes, pa.int64()), pa.array(digests, pa.binary()), *map(pa.array, sets.parities())]
                 for k in range(ORDERS):
-                    lists = [p.view(np.int64)[: 0 if gone else None] for p, gone in zip(sets.prefixes(order, k, numerator, denominator), absent, strict=True)]
+                    lists = [p.view(np.int64)[: 0 if gone else None] for p, gone in zip(sets.prefixes(frequencies, k, numerator, denominator), absent, strict=True)]
                     # the other orders only rule pairs out, for which half of a hash does
                     columns.append(_lists([np.unique(p.astype(np.int32)) for p in lists] if k else lists, absent))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *SIGNATURE, "prefix", *OTHERS])
@@ -336,7 +342,7 @@ def _members(pairs: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n and cls of each document; node and root of each class that is linked)."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequency_table(docs, ngram))
+    table = spark.sparkContext.broadcast(frequency_table(docs, temporary, ngram))
     rows = temporary.stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     lists = rows.filter("prefix is not null").select("prefix", "cls", "n", *SIGNATURE)
