@@ -56,9 +56,10 @@ def test_substring(spark):
         assert got(substring.removal_report(docs, window=window)) == brute.substring(texts(docs), window)
 
 
-def test_substring_hot_and_full_filter(spark):
+@pytest.mark.parametrize("crowded, window", [(0, 35), (1, 35), (2, 35), (3, 10)])
+def test_substring_crowded_and_full_filter(spark, crowded, window):
     docs = awkward.documents(spark)
-    assert got(substring.removal_report(docs, hot=1, bits=64)) == brute.substring(texts(docs), 35)
+    assert got(substring.removal_report(docs, crowded=crowded, bits=1 << 16, window=window)) == brute.substring(texts(docs), window)
 
 
 def test_without_repeats(spark):

@@ -10,12 +10,16 @@ equal minimisers, so they meet there, and sorting counts them exactly.
   filter is full more of them travel; the result is the same.
 - Equal super-k-mers are counted before they are looked into, so thousands of copies of a
   text are one row.
-- Where a minimiser still has more than ``HOT`` different super-k-mers (around a passage that
-  very many documents share) their windows are dealt out and counted by their own digests.
+- Where a minimiser still has more than ``CROWDED`` different super-k-mers (around a passage
+  that very many documents share) they are cut anew by the minimisers of longer runs of words
+  (``LEVELS``) and dealt to the buckets of those, level by level. The last
+  level's run is the window itself: equal ones are counted by partial aggregates. So no bucket
+  that a task sorts grows with the corpus.
 
 Defined results: null or empty text has no words and stays as it is; a text shorter than a
-window loses nothing; rows with equal texts, repeated rows included, count as different places
-and lose the same words; an empty table gives an empty result.
+window loses nothing; texts of any length are looked at whole; rows with equal texts, repeated rows included, count as different places
+and lose the same words; an empty table gives an empty result. Columns of the caller keep their values, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volclock.llm.scratch import stored
-from volclock.llm.wordhash import WordHasher, Words, chunks
+from volclock.llm import bloom
+from volclock.llm.bloom import Bloom
+from volclock.llm.scratch import Temporary, stored
+from volclock.llm.text import fresh
+from volclock.llm.wordhash import WordHasher, Words, chunks, mix64
 
 WINDOW = 35
 MER = 8
-HOT = 1000
-#: Size of the filter: at most 8 MB, broadcast to every worker.
-FILTER_BITS = 1 << 26
+#: Different super-k-mers of one bucket, each of at most MOST_WINDOWS windows.
+CROWDED = 1000
+#: Words in the runs that crowded buckets are dealt on by, as far as shorter than a window.
+LEVELS = (20, 29)
 #: A super-k-mer is cut into parts of at most so many windows.
 MOST_WINDOWS = 256
 
@@ -55,6 +63,24 @@ def sliding_max(x: np.ndarray, k: int) -> np.ndarray:
     return ~sliding_min(~x, k)
 
 
+def pieces(words: Words, least: np.ndarray, inside: np.ndarray, use: np.ndarray, most: int = MOST_WINDOWS) -> Iterator[tuple[int, int]]:
+    """First and one past the last window of each stretch of one minimiser within one text, in
+    parts of at most ``most``, where ``use`` says so for its windows."""
+    of = words.texts()
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (of[1 : len(least)] != of[: len(least) - 1]) | ~inside[:-1] | ~inside[1:]
+    starts = np.nonzero(new)[0]
+    ends = np.append(starts[1:], len(least))
+    wanted = use[starts]
+    for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
+        for i in range(a, b, most):
+            yield i, min(i + most, b)
+
+
+def _digest(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def minimisers(words: Words, window: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all mers; the minimiser of each window; which windows lie in one text)."""
     mers = words.runs(mer)
@@ -83,36 +109,18 @@ def _minimiser_hashes(window: int, mer: int):
     return run
 
 
-def _filter_bits(value, bits: int):
-    """Two positions in the filter, the same in Spark and numpy."""
-    return value & (bits - 1), (value >> 32) & (bits - 1)
+def repeated_minimisers(docs: DataFrame, temporary: Temporary, window: int, mer: int, bits: int):
+    """A Bloom filter, sent to all workers, of the minimisers that occur more than once."""
+    counted = docs.select("text").mapInArrow(_minimiser_hashes(window, mer), "mini long, n long")
+    repeated = temporary.stored(counted.groupBy("mini").agg(F.sum("n").alias("n")).filter("n > 1").select("mini"), "sub-repeated")
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(repeated, bits))
+    temporary.drop(repeated)
+    return sent
 
 
-def repeated_filter(docs: DataFrame, window: int, mer: int, bits: int) -> bytes:
-    """A Bloom filter of the minimisers that occur more than once."""
-    counted = docs.select("text").mapInArrow(_minimiser_hashes(window, mer), "mini long, n long")
-    repeated = counted.groupBy("mini").agg(F.sum("n").alias("n")).filter("n > 1")
-    first, second = F.col("mini").bitwiseAND(bits - 1), F.shiftright("mini", 32).bitwiseAND(bits - 1)
-    at = F.explode(F.array(first, second))
-    # at most bits / 64 rows of two numbers come to the driver
-    words = repeated.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
-    rows = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["cell"].to_numpy()] = rows["word"].to_numpy()
-    return out.tobytes()
-
-
-def _super_kmers(window: int, mer: int, bits: int, wanted):
+def _super_kmers(window: int, mer: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        cells = np.frombuffer(wanted.value, np.int64)
-
-        def maybe(value: np.ndarray) -> np.ndarray:
-            found = np.ones(len(value), bool)
-            for at in _filter_bits(value, bits):
-                found &= (cells[at >> 6] >> (at & 63)) & 1 == 1
-            return found
-
         for batch in batches:
             keys = batch.column(1)
             for part, texts in chunks(batch):
@@ -120,20 +128,11 @@ def _super_kmers(window: int, mer: int, bits: int, wanted):
                 if len(words.hashes) < window:
                     continue
                 _, least, inside = minimisers(words, window, mer)
-                mini = least.view(np.int64)
-                use = inside & maybe(mini)
-                of = words.texts()
-                new = np.ones(len(mini), bool)
-                new[1:] = (mini[1:] != mini[:-1]) | (of[1 : len(mini)] != of[: len(mini) - 1]) | ~inside[:-1] | ~inside[1:]
-                starts = np.nonzero(new)[0]
-                ends = np.append(starts[1:], len(mini))
+                mini, of = least.view(np.int64), words.texts()
                 rows: list[tuple] = []
-                for a, b in zip(starts[use[starts]].tolist(), ends[use[starts]].tolist(), strict=True):
-                    for i in range(a, b, MOST_WINDOWS):
-                        packed = words.text(i, min(i + MOST_WINDOWS, b) + window - 1)
-                        t = int(of[a])
-                        digest = hashlib.blake2b(packed, digest_size=16).digest()
-                        rows.append((int(mini[a]), digest, packed, keys[part.start + t].as_py(), i - int(words.first[t])))
+                for a, b in pieces(words, least, inside, inside & wanted.value.holds(mini)):
+                    packed, t = words.text(a, b + window - 1), int(of[a])
+                    rows.append((int(mini[a]), _digest(packed), packed, keys[part.start + t].as_py(), a - int(words.first[t])))
                 if rows:
                     types = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64())
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
@@ -142,6 +141,31 @@ def _super_kmers(window: int, mer: int, bits: int, wanted):
     return run
 
 
+def _cut_anew(window: int, mer: int):
+    """From mini, digest, packed and n: pieces by the minimisers of longer runs, each with the
+    string that it comes from (whole) and its first window there (at). The key of a piece holds
+    all minimisers so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for part, texts in chunks(batch, 2):
+                words = hasher(texts)
+                _, least, inside = minimisers(words, window, mer)
+                of = words.texts()
+                before, whole, n = (batch.column(i)[part] for i in (0, 1, 3))
+                rows: list[tuple] = []
+                for a, b in pieces(words, least, inside, inside, 1 if mer == window else MOST_WINDOWS):
+                    packed, t = words.text(a, b + window - 1), int(of[a])
+                    key = mix64(np.array([before[t].as_py()], np.int64).view(np.uint64) ^ least[a : a + 1]).view(np.int64)
+                    rows.append((int(key[0]), _digest(packed), packed, n[t].as_py(), whole[t].as_py(), a - int(words.first[t])))
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["mini", "digest", "packed", "n", "whole", "at"])
+
+    return run
+
+
 def _windows(packed: bytes, window: int) -> Iterator[bytes]:
     at = [-1]
     while (i := packed.find(b" ", at[-1] + 1)) >= 0:
@@ -198,46 +222,40 @@ def _repeats_in_bucket(window: int):
     return run
 
 
-def _windows_of_hot(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (hashlib.blake2b(w, digest_size=16).digest(), digest, i, n)
-                for digest, packed, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for i, w in enumerate(_windows(packed, window))
-            ]
-            if rows:
-                types = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["w", "digest", "lo", "n"])
-
-    return run
-
-
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, mer: int = MER, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
-    """key (md5 of the text), ranges: array of (first word, last word + 1) to remove, not merged."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(repeated_filter(docs, window, mer, bits))
-    keyed = docs.select("text", F.md5("text").alias("key")).filter("text is not null")
-    places = stored(
-        keyed.mapInArrow(_super_kmers(window, mer, bits, wanted), "mini long, digest binary, packed binary, key string, start long"), "sub-kmers"
-    )
-    kmers = places.groupBy("mini", "digest", "packed").agg(F.count("*").alias("n"))
-    kmers = stored(kmers, "sub-counted")
-    size = kmers.groupBy("mini").agg(F.count("*").alias("_size"), F.sum("n").alias("_n"))
+def _repeats(kmers: DataFrame, temporary: Temporary, window: int, levels: tuple[int, ...], crowded: int) -> DataFrame:
+    """digest, lo and hi: first and last of consecutive repeated windows of the super-k-mers in
+    ``kmers`` (mini, digest, packed, n: how often). Without a level left they are windows."""
+    if not levels:
+        return kmers.filter("n > 1").select("digest", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    size = kmers.groupBy("mini").agg(F.count("*").alias("_size"))
     sized = kmers.join(size, "mini")
-
-    cool = sized.filter(F.col("_size") <= hot).select("mini", "digest", "packed", "n")
+    cool = sized.filter(F.col("_size") <= crowded).select("mini", "digest", "packed", "n")
     cool = cool.repartition("mini").sortWithinPartitions("mini").mapInArrow(_repeats_in_bucket(window), "digest binary, lo long, hi long")
-    warm = sized.filter(F.col("_size") > hot).select("digest", "packed", "n")
-    warm = stored(warm.mapInArrow(_windows_of_hot(window), "w binary, digest binary, lo long, n long"), "sub-hot")
-    again = warm.groupBy("w").agg(F.sum("n").alias("_n")).filter("_n > 1").select("w")
-    warm = warm.join(again, "w").select("digest", "lo", F.col("lo").alias("hi"))
-
-    repeats = stored(cool.unionByName(warm), "sub-repeats")
-    spans = places.select("digest", "key", "start").distinct().join(repeats, "digest")
-    spans = spans.select("key", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + window).alias("b")).alias("r"))
-    return spans.groupBy("key").agg(F.collect_list("r").alias("ranges"))
+    warm = temporary.stored(sized.filter(F.col("_size") > crowded).select("mini", "digest", "packed", "n"), "sub-crowded")
+    if warm.isEmpty():
+        return cool
+    schema = "mini long, digest binary, packed binary, n long, whole binary, at long"
+    cut = temporary.stored(warm.mapInArrow(_cut_anew(window, levels[0]), schema), "sub-cut")
+    anew = temporary.stored(cut.groupBy("mini", "digest", "packed").agg(F.sum("n").alias("n")), "sub-anew")
+    found = temporary.stored(_repeats(anew, temporary, window, levels[1:], crowded), "sub-found")
+    placed = cut.select(F.col("digest").alias("piece"), "whole", "at").join(found, F.col("piece") == F.col("digest"))
+    return cool.unionByName(placed.select(F.col("whole").alias("digest"), (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, mer: int = MER, bits: int = bloom.MOST, crowded: int = CROWDED) -> DataFrame:
+    """key (md5 of the text), ranges: array of (first word, last word + 1) to remove, not merged."""
+    with Temporary(docs.sparkSession) as temporary:
+        wanted = repeated_minimisers(docs, temporary, window, mer, bits)
+        keyed = docs.select("text", F.md5("text").alias("key")).filter("text is not null")
+        schema = "mini long, digest binary, packed binary, key string, start long"
+        places = temporary.stored(keyed.mapInArrow(_super_kmers(window, mer, wanted), schema), "sub-kmers")
+        kmers = temporary.stored(places.groupBy("mini", "digest", "packed").agg(F.count("*").alias("n")), "sub-counted")
+        # the last level's run is the window
+        levels = (*[n for n in LEVELS if mer < n < window], window)
+        repeats = temporary.stored(_repeats(kmers, temporary, window, levels, crowded), "sub-repeats")
+        spans = places.select("digest", "key", "start").distinct().join(repeats, "digest")
+        spans = spans.select("key", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + window).alias("b")).alias("r"))
+        return stored(spans.groupBy("key").agg(F.collect_list("r").alias("ranges")), "sub-ranges")
 
 
 def kept_words(text: bytes, ranges: list[dict]) -> tuple[int, int, list[bytes], list[bytes]]:
@@ -259,9 +277,10 @@ def kept_words(text: bytes, ranges: list[dict]) -> tuple[int, int, list[bytes],
 
 
 def with_ranges(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with _ranges (null where nothing repeats)."""
-    ranges = stored(repeated_ranges(docs, **parameters), "sub-ranges").withColumnRenamed("key", "_key")
-    return docs.join(ranges, F.md5(docs["text"]) == F.col("_key"), "left").select(*[docs[c] for c in docs.columns], F.col("ranges").alias("_ranges"))
+    """``docs`` with one more column, the last: the ranges, null where nothing repeats."""
+    key, name = fresh(docs, "key", "ranges")
+    ranges = repeated_ranges(docs, **parameters).toDF(key, name)
+    return docs.withColumn(key, F.md5("text")).join(ranges, key, "left").select(*docs.columns, name)
 
 
 def removal_report(docs: DataFrame, **parameters) -> DataFrame:
