@@ -12,8 +12,8 @@ virtual time first, and only rows of one bucket or tick are ever sorted together
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times; a null source
 is a source of its own, after the others; repeated rows share their key and so their
-decision; an empty table gives an empty result. Columns that this module adds are chosen
-not to clash with the caller's (prefix ``_mix``) in ``mix``.
+decision; texts of any length count whole; an empty table gives an empty result. Columns of the
+caller keep their values in ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volclock.llm.scratch import stored
-from volclock.llm.text import word_count
+from volclock.llm.scratch import Temporary, stored
+from volclock.llm.text import small, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -71,12 +71,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 def fair_queue(
     sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, ticks: int = TICKS
 ) -> DataFrame:
-    """Per source: source, source_size, target, full_epochs, last_key.
+    """Per source: source, source_size, target, full_epochs, last_bucket, last_key.
 
     ``sizes`` has source, size and key. A document is taken ``full_epochs`` times, and once
     more if its key is at most ``last_key``.
     """
-    targets = stored(source_targets(sizes, weights, max_epochs), "mix-targets")
+    with Temporary(sizes.sparkSession) as temporary:
+        return stored(_queue(sizes, temporary, weights, max_epochs, buckets, ticks), "mix-queue")
+
+
+def _queue(sizes: DataFrame, temporary: Temporary, weights, max_epochs: int, buckets: int, ticks: int) -> DataFrame:
+    targets = temporary.stored(source_targets(sizes, weights, max_epochs), "mix-targets")
     queued = sizes.filter("size > 0").select("source", "size", "key", F.pmod("key", F.lit(buckets)).alias("bucket"))
 
     in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +108,7 @@ def fair_queue(
         .withColumn("tick", F.floor(F.col("finish") * ticks))
         .select("source", "epoch", "bucket", "key", "size", "finish", "tick")
     )
-    packets = stored(packets, "mix-packets")
+    packets = temporary.stored(packets, "mix-packets")
 
     by_tick = packets.groupBy("tick").agg(F.sum("size").alias("_sum"))
     before_tick = Window.partitionBy(F.lit(0)).orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,22 +157,18 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, se
     """Per document: doc_id, source, size, source_size, target, epochs (times taken), taken (words)."""
     sizes = stored(with_size(docs, seed), "mix-sizes")
     queue = fair_queue(sizes, weights, max_epochs, buckets, ticks).withColumnRenamed("source", "_q")
-    joined = sizes.join(queue, F.col("source").eqNullSafe(F.col("_q")), "left")
+    joined = sizes.join(small(queue), F.col("source").eqNullSafe(F.col("_q")), "left")
     joined = joined.withColumn("epochs", times_taken(F.col("size"), F.col("key"), buckets))
     return joined.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS, ticks: int = TICKS) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken, all columns kept."""
-    sizes = stored(with_size(docs, seed), "mix-sizes")
-    queue = fair_queue(sizes, weights, max_epochs, buckets, ticks).select(
-        F.col("source").alias("_mix_source"), "full_epochs", "last_bucket", "last_key"
-    )
-    times = times_taken(word_count(docs["text"]), document_key(docs["doc_id"], docs["text"], seed), buckets)
-    return (
-        docs.join(queue, docs["source"].eqNullSafe(F.col("_mix_source")), "left")
-        .select(*[docs[c] for c in docs.columns], times.alias("_mix_times"))
-        .filter("_mix_times > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-        .select(*docs.columns)
+    with Temporary(docs.sparkSession) as temporary:
+        queue = fair_queue(temporary.stored(with_size(docs, seed), "mix-sizes"), weights, max_epochs, buckets, ticks)
+    own = docs.select(
+        F.struct("*").alias("row"), F.col("source").alias("own"), word_count(F.col("text")).alias("size"), document_key(F.col("doc_id"), F.col("text"), seed).alias("key")
     )
+    joined = own.join(small(queue), F.col("own").eqNullSafe(F.col("source")), "left")
+    times = joined.select("row", times_taken(F.col("size"), F.col("key"), buckets).alias("times")).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

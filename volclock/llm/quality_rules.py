@@ -9,10 +9,13 @@ group is too small to judge itself by. Bins are integers, so reruns agree.
 A document fails a rule if its metric lies beyond the group's quartiles by more than
 ``FENCE`` times their distance, or a least slack where the group hardly varies.
 
-Everything runs as DataFrame expressions; a text is read once and never shuffled.
+Everything runs as DataFrame expressions; a text is never shuffled nor stored. The filter
+reads texts twice, for the sketches and for the verdict.
 
-Defined results: null or empty text has no words and fails the base rule; null lang and null
-source are groups of their own; an empty table gives an empty result.
+Defined results: null or empty text has no words and fails the base rule; texts of any length
+are measured whole; null lang and null source are groups of their own; repeated rows are judged
+alike and all stay or go; an empty table gives an empty result. Columns of the caller keep their
+values, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volclock.llm.scratch import stored
-from volclock.llm.text import words
+from volclock.llm.scratch import Temporary, stored
+from volclock.llm.text import small, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -97,7 +100,7 @@ def bin_of(value: Column) -> Column:
     return (value - F.pmod(value, width)).cast("long")
 
 
-def thresholds(base: DataFrame) -> DataFrame:
+def thresholds(base: DataFrame, temporary: Temporary) -> DataFrame:
     """One row for each (lang, source): lang, source and a lower and upper bound of each metric.
 
     ``base`` has lang, source, n_words and the base columns. Documents under the base rule
@@ -111,8 +114,8 @@ def thresholds(base: DataFrame) -> DataFrame:
         .groupBy("lang", "source", "metric", bin_of(F.col("value")).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    sketch = stored(sketch, "rules-sketch")
-    groups = stored(base.groupBy("lang", "source").agg(F.count("*").alias("n_docs")), "rules-groups")
+    sketch = temporary.stored(sketch, "rules-sketch")
+    groups = temporary.stored(base.groupBy("lang", "source").agg(F.count("*").alias("n_docs")), "rules-groups")
 
     def quartiles(keys: list[str], tag: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
@@ -158,8 +161,10 @@ def judge(base: DataFrame, bounds: DataFrame) -> DataFrame:
         verdict = verdict & F.coalesce(m[name] <= F.col(f"{name}_max"), F.lit(True))
     for name in LOWER_SLACK:
         verdict = verdict & F.coalesce(m[name] >= F.col(f"{name}_min"), F.lit(True))
-    joined = base.join(b, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select(*cols, base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"))
+    # one expression, which no filter is split off from and evaluated under the join once more
+    kept = F.when(base_failed(), F.lit(False)).otherwise(verdict)
+    joined = base.join(small(b), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select(*cols, base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -167,19 +172,15 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, lang, source, the base columns, base_failed and kept."""
-    base = stored(with_base(docs.select("doc_id", "lang", "source", "text")).drop("text"), "rules-base")
-    return judge(base, stored(thresholds(base), "rules-bounds"))
+    with Temporary(docs.sparkSession) as temporary:
+        base = stored(with_base(docs.select("doc_id", "lang", "source", "text")).drop("text"), "rules-base")
+        return judge(base, stored(thresholds(base, temporary), "rules-bounds"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    clashing = [c for c in docs.columns if c in (*BASE, "n_lines", "base_failed", "kept")]
-    renamed = docs
-    for c in clashing:
-        renamed = renamed.withColumnRenamed(c, f"_own_{c}")
-    # stored, so that the filter on the verdict can't draw the array expressions into itself
-    base = stored(with_base(renamed), "rules-base")
-    kept = judge(base, stored(thresholds(base), "rules-bounds")).filter("kept").select(*renamed.columns)
-    for c in clashing:
-        kept = kept.withColumnRenamed(f"_own_{c}", c)
-    return kept
+    with Temporary(docs.sparkSession) as temporary:
+        figures = temporary.stored(with_base(docs.select("lang", "source", "text")).drop("text"), "rules-base")
+        bounds = stored(thresholds(figures, temporary), "rules-bounds")
+    base = with_base(docs.select(F.struct("*").alias("row"), "lang", "source", "text")).drop("text")
+    return judge(base, bounds).filter("kept").select("row.*")

@@ -34,3 +34,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+#: So many rows of a few numbers are sent to all workers, more are joined by shuffling.
+SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table for a join: broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
