@@ -259,7 +259,9 @@ def starred(lists: DataFrame, repeated, numerator: int, denominator: int) -> Dat
     found = postings(lists, repeated)
     hubs = found.groupBy("token").agg(F.min(F.struct(*FIELDS)).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub")
     own, hub = ({f: F.col(f"{prefix}{f}") for f in FIELDS} for prefix in ("", "hub."))
-    met = found.join(hubs, "token").filter((own["cls"] != hub["cls"]) & alike(own, hub, numerator, denominator))
+    # where parities can't tell large sets apart, a pair waits for what may be its first token
+    telling = (apart(own["n"], hub["n"], numerator, denominator) < 32 * PARITY) | first_shared(own, hub, numerator, denominator)
+    met = found.join(hubs, "token").filter((own["cls"] != hub["cls"]) & alike(own, hub, numerator, denominator) & telling)
     return met.select(F.col("cls").alias("a"), hub["cls"].alias("b"))
 
 
