@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volclock.functions.windows import lag, series
@@ -22,6 +22,6 @@ def asof(fast: DataFrame, slow: DataFrame, features: list[str]) -> DataFrame:
     names = fast.columns
     left = fast.select("symbol", "time", F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).alias("_slow"))
     right = slow.select("symbol", "time", F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*features).alias("_slow"))
-    order = series().orderBy("time", "_side").rowsBetween(-(1 << 30), 0)
+    order = series().orderBy("time", "_side").rowsBetween(Window.unboundedPreceding, 0)
     joined = left.unionByName(right).withColumn("_slow", F.last("_slow", ignorenulls=True).over(order)).filter("_side = 1")
     return joined.select(*[F.col(f"_row.{n}").alias(n) for n in names], *[F.col(f"_slow.{f}").alias(f) for f in features])

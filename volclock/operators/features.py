@@ -125,11 +125,10 @@ def run_length(direction: Column) -> Column:
 def consecutive(df: DataFrame) -> DataFrame:
     df = df.withColumn("_d", run_length(c("close") - lag("close")))
     df = df.withColumn("_new", F.when(F.lag("_d").over(series()).eqNullSafe(c("_d")), 0).otherwise(1))
-    df = df.withColumn("_run", F.sum("_new").over(trailing(1 << 30)))
     # position within the run: a running count minus the count where the run began
     df = df.withColumn("_n", F.row_number().over(series()))
-    df = df.withColumn("_start", F.max(F.when(c("_new") == 1, c("_n"))).over(trailing(1 << 30)))
-    return df.withColumn("consecutive_direction", c("_d") * (c("_n") - c("_start") + 1)).drop("_d", "_new", "_run", "_n", "_start")
+    df = df.withColumn("_start", F.max(F.when(c("_new") == 1, c("_n"))).over(series().rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("consecutive_direction", c("_d") * (c("_n") - c("_start") + 1)).drop("_d", "_new", "_n", "_start")
 
 
 def momentum(df: DataFrame, n: int = 12) -> DataFrame:

@@ -30,9 +30,9 @@ def uniqueness(events: DataFrame) -> DataFrame:
 
 def sample_weights(events: DataFrame) -> DataFrame:
     """``events`` with weight: uniqueness scaled to the number of events; 1 without t1."""
-    known = uniqueness(events.dropna(subset=["t1"]))
+    known = uniqueness(events.select("symbol", "time", "t1").dropna(subset=["t1"]))
     scale = known.groupBy("symbol").agg((F.count("*") / F.sum("uniqueness")).alias("_scale"))
-    found = known.join(F.broadcast(scale), "symbol").select(F.col("symbol"), F.col("time"), (F.col("uniqueness") * F.col("_scale")).alias("weight"))
+    found = known.join(scale, "symbol").select(F.col("symbol"), F.col("time"), (F.col("uniqueness") * F.col("_scale")).alias("weight"))
     return events.join(found, ["symbol", "time"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
