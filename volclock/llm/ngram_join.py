@@ -42,8 +42,8 @@ from volclock.llm.wordhash import LOWER, WordHasher, chunks, mix64
 
 NGRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
 ORDERS = 3
-#: Tokens in the frequency table: at most 32 MB come to the driver and to every worker.
-TABLE = 2_000_000
+#: Tokens in the frequency table: at most 16 MB come to the driver and to every worker.
+TABLE = 1_000_000
 #: So many tokens are summarised at a time, by the counts of at most so many of them.
 SUMMARISED, SUMMARY = 1 << 21, 1 << 16
 #: Words of 64 bits in a signature.
