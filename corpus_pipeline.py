@@ -46,7 +46,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Tokenising and packing can't be told in SQL; tests hold run() against a plain version.
+#: Tokenising and packing can't be told in SQL. Tests cover the stages one by one.
 ORACLE_SQL = None
 
 
