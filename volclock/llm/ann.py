@@ -16,9 +16,10 @@ Equal vectors are one entry that holds their k + 1 smallest ids, which is all th
 answer can show of them.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do rows with null vec_id, nor vectors whose length isn't the most frequent one (the
-shortest of those); repeated rows count once; a query without other vectors has no rows; an
-empty table gives an empty result.
+part, nor do rows with null vec_id; vectors of different lengths have no inner product, so each
+length is searched on its own, one after the other; repeated rows count once; ties go to smaller
+ids; a query without other vectors has no rows; other columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volclock.llm.scratch import stored
@@ -41,7 +42,7 @@ SEED = 11
 SAMPLE = 20_000
 CELL = 2048
 LEAF = 64
-#: More queries than this at one cell are dealt to several copies of it.
+#: A cell that more queries than this visit is copied, so that several tasks answer them.
 QUERIES = 50_000
 SALTS = 16
 
@@ -73,9 +74,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
             digests = [hashlib.blake2b(v, digest_size=16).digest() for v in packed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["vec_id", "digest", "v"])
 
-    rows = stored(lean.mapInArrow(run, "vec_id long, digest binary, v binary"), "ann-rows")
-    lengths = [r.asDict() for r in rows.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
-    return rows.filter(F.length("v") == (lengths[0]["n"] if lengths else 0))
+    return stored(lean.mapInArrow(run, "vec_id long, digest binary, v binary"), "ann-rows")
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
@@ -169,8 +168,21 @@ class Cell:
         return best, bound
 
 
+def lookup(values: dict[int, int]) -> Column:
+    """The value of the row's cell, 1 if it has none."""
+    if not values:
+        return F.lit(1).cast("long")
+    pairs = F.create_map(*[F.lit(x).cast("long") for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, F.col("cell")), F.lit(1).cast("long"))
+
+
 def _searched(cells: DataFrame, visits: DataFrame, projection, k: int, reach: float) -> DataFrame:
-    """query, bound and the best ids and scores for each visit (query, q, bound, cell, part, copy)."""
+    """query, bound and the best ids and scores for each visit (query, v, bound, cell, part)."""
+    # at most a row for each cell
+    crowded = visits.groupBy("cell", "part").count().filter(F.col("count") > QUERIES).groupBy("cell").agg(F.max("count").alias("n")).collect()
+    copies = lookup({r["cell"]: -(-r["n"] // QUERIES) for r in crowded})
+    cells = cells.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    visits = visits.withColumn("copy", F.pmod(F.xxhash64(F.lit(1), F.col("query")), copies))
     index = cells.select("cell", "part", "copy", F.lit(0).alias("kind"), F.col("digest").alias("query"), "v", F.lit(None).cast("double").alias("bound"), "ids")
     asked = visits.select("cell", "part", "copy", F.lit(1).alias("kind"), "query", "v", "bound", F.lit(None).cast("array<long>").alias("ids"))
     place = ["cell", "part", "copy"]
@@ -208,13 +220,18 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, sure: float = SUR
 
     ``is_query`` is a condition on vec_id that tells which vectors are queries.
     """
-    rows = usable(vectors)
+    every = usable(vectors)
+    found = every.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in every.select(F.length("v").alias("n")).distinct().orderBy("n").collect():  # a row for each length
+        found = found.unionByName(_nearest_of_length(every.filter(F.length("v") == r["n"]), is_query, k, sure, projected, cell, sample, seed))
+    return found
+
+
+def _nearest_of_length(rows: DataFrame, is_query, k: int, sure: float, projected: int, cell: int, sample: int, seed: int) -> DataFrame:
+    """``nearest`` for ``rows`` (vec_id, digest, v) of one length."""
     held = stored(entries(rows, k), "ann-entries")
     asking = stored(rows.filter(is_query).select("digest", F.col("vec_id").alias("query_id")).distinct(), "ann-queries")
     n = held.count()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
 
     # at most about ``sample`` vectors
     part = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -249,14 +266,9 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, sure: float = SUR
     # a cell that the sample didn't foresee to be so full is split
     parts = {r["cell"]: -(-r["n"] // (2 * cell)) for r in boxes if r["n"] > 2 * cell}
     queries = asking.select("digest").distinct()
-    copies = -(-queries.count() // QUERIES)
-    parts_of = F.lit(1).cast("long")
-    if parts:
-        split = F.create_map(*[F.lit(x).cast("long") for pair in parts.items() for x in pair])
-        parts_of = F.coalesce(F.try_element_at(split, F.col("cell")), parts_of)
-    cells = routed.withColumn("part", F.pmod(F.xxhash64("digest"), parts_of)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies, 1) - 1))))
+    parts_of = lookup(parts)
+    cells = routed.withColumn("part", F.pmod(F.xxhash64("digest"), parts_of))
     reach = chi_square_quantile(sure, projected)
-    copy = F.pmod(F.xxhash64(F.lit(1), F.col("query")), F.lit(max(copies, 1))).cast("int").alias("copy")
     every_part = F.explode(F.sequence(F.lit(0).cast("long"), parts_of - 1)).alias("part")
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +279,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, sure: float = SUR
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest_cell)], ["query", "v", "cell"])
 
     asked = stored(held.join(queries, "digest", "left_semi").select(F.col("digest").alias("query"), "v").mapInArrow(home, "query binary, v binary, cell long"), "ann-asked")
-    first = asked.select("query", "v", F.lit(None).cast("double").alias("bound"), "cell", every_part).select("*", copy)
+    first = asked.select("query", "v", F.lit(None).cast("double").alias("bound"), "cell", every_part)
     first = stored(_searched(cells, first, sent, k, reach), "ann-first")
 
     bounds = first.groupBy("query").agg(F.max("bound").alias("bound"))
@@ -285,7 +297,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, sure: float = SUR
             yield pa.RecordBatch.from_arrays(columns, ["query", "v", "bound", "cell"])
 
     rest = asked.join(bounds, "query").select("query", "v", "cell", "bound").mapInArrow(others, "query binary, v binary, bound double, cell long")
-    rest = rest.select("query", "v", "bound", "cell", every_part).select("*", copy)
+    rest = rest.select("query", "v", "bound", "cell", every_part)
     second = stored(_searched(cells, rest, sent, k, reach), "ann-second")
 
     found = first.unionByName(second).select("query", F.explode(F.arrays_zip("ids", "scores")).alias("_f"))
