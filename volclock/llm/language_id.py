@@ -8,12 +8,14 @@ stays below. A text takes the language of the centroid with the largest cosine a
 as rejected if that cosine is too small.
 
 Defined results: null text, and text without letters, is ``und`` with score 0, as is every text
-if nothing could be learned; rows with null lang are not learned from; repeated rows give
-equal rows; an empty table gives an empty result.
+if nothing could be learned; rows with null lang, null text or no letter are not learned from;
+whole texts count, however long; repeated rows give equal rows; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from volclock.llm.scratch import stored
 
 DIMENSIONS = 1 << 14
-#: So many documents of each language are taken for clustering, about; they are chosen by hash.
+#: So many documents of each language are taken for clustering, about, and never more than
+#: twice as many; they are chosen by hash.
 SAMPLE = 2000
 CENTROIDS = 4
 ROUNDS = 12
@@ -96,7 +99,7 @@ def clusters(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray
 
 def learned_centroids(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> dict:
     """From text and lang of ``docs``: langs, centroids, least (cosine of each) and idf."""
-    usable = docs.filter("lang is not null and text is not null").select("text", "lang")
+    usable = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}")).select("text", "lang")
     idf = inverse_frequencies(usable, dimensions)
     sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -104,9 +107,8 @@ def learned_centroids(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS,
     chosen = usable.join(sized, F.col("lang") == F.col("_lang")).filter(part * F.col("_n") < sample).select("text", "lang")
 
     def of_language(pdf: pd.DataFrame) -> pd.DataFrame:
-        # hash order, so that reruns agree; equal texts are taken or left together, so the
-        # bound is applied once more
-        texts = sorted(set(pdf["text"]))[: 2 * sample]
+        # in the order of a hash, so that reruns agree and no part of the alphabet is favoured
+        texts = sorted(set(pdf["text"]), key=lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())[: 2 * sample]
         x = np.stack([vector(t, idf) for t in texts])
         centroids, (own, cosine) = clusters(x, k, rounds)
         least = [float(np.quantile(cosine[own == j], REJECT_SHARE)) if (own == j).any() else 0.0 for j in range(len(centroids))]
