@@ -190,7 +190,7 @@ def fitted(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, sample: in
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], *lists], ["grade", "at", "value"])
 
     rows = chosen.mapInArrow(run, "grade int, at array<int>, value array<double>")
-    rows = stored(rows.coalesce(8), "quality-sample")
+    rows = stored(rows.repartition(8), "quality-sample")
     start = np.zeros(dimensions(bits) + grades - 1)
     start[dimensions(bits)] = -1.0
     objective = Objective(rows, grades, bits, ridge)
