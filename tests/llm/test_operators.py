@@ -125,6 +125,33 @@ def test_nearest_repeated_rows(spark):
     assert entry["ids"] == ids[:21]
 
 
+def test_nearest_of_each_length(spark, monkeypatch):
+    """Lengths are searched on their own; copies of crowded cells change nothing."""
+    rng = np.random.default_rng(5)
+    x = {i: rng.standard_normal(3 if i < 200 else 2) for i in range(0, 240)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    want = {}
+    for q in range(0, 240, 20):
+        s = {i: float((x[i] * x[q]).sum()) for i in x if i != q and len(x[i]) == len(x[q])}
+        want[q] = sorted(s, key=lambda i: (-s[i], i))[:20]
+    for most in (ann.QUERIES, 2):
+        monkeypatch.setattr(ann, "QUERIES", most)
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == want
+
+
+def test_language_learns_from_letters_only(spark):
+    rows = [(f"the quick fox number {i} runs over there", "en") for i in range(40)] + [(f"der schnelle fuchs {i} ist nicht dort", "de") for i in range(40)]
+    blank = [(t, "zz") for t in ("", "  ", "1234", "!? 5", None)]
+    docs = spark.createDataFrame(rows + blank, "text string, lang string")
+    model = language_id.learned_centroids(docs)
+    assert set(model["langs"]) == {"de", "en"}
+    same = language_id.learned_centroids(spark.createDataFrame(rows[::-1], "text string, lang string"))
+    assert model["langs"] == same["langs"] and np.allclose(model["centroids"], same["centroids"], atol=1e-5)
+
+
 def test_quotes_all_links(spark):
     said = {1: "the first conversation starts", 2: "> the first conversation starts\nsecond says other things", 3: "> second says other things\nthird is here now"}
     rows = [(c, 0, t) for c, t in said.items()] + [(4, 0, "> the first conversation starts\nyes\n> third is here now\nno")]
