@@ -31,6 +31,49 @@ def lot_size(probability: Column) -> Column:
     return F.when(probability >= 0.75, 4.0).when(probability >= 0.60, 2.0).when(probability >= 0.45, 1.0).otherwise(0.5)
 
 
+def live_signal(probabilities: Column, threshold: float = 0.55) -> Column:
+    """1 or -1 if class 2 or 0 is the first of the largest and lies strictly above the threshold."""
+    best = F.array_max(probabilities)
+    first = F.array_position(probabilities, best)
+    return F.when((best > threshold) & (first != 2), F.when(first == 3, 1).otherwise(-1)).otherwise(0)
+
+
+#: Points that the price of a market order may move.
+DEVIATION = 20
+
+
+def fill_mode(mask: Column) -> Column:
+    """From the bits of what a symbol allows: 1 fill or kill, 2 immediate or cancel."""
+    bit = lambda n: F.coalesce(mask.bitwiseAND(F.lit(n)) != 0, F.lit(False))
+    return F.when(bit(1), "fok").when(bit(2), "ioc").otherwise("return")
+
+
+def null_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per symbol: rows, and rows in which any of ``columns`` is null."""
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | F.col(c).isNull()
+    return df.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count_if(missing).alias("n_null_rows"))
+
+
+def class_report(df: DataFrame, classes: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
+    """symbol, class, precision, recall, f1, support; 0 where nothing was predicted or true."""
+    y, p = F.col("label"), F.col("predicted")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (p == k).alias("said"), (y == k).alias("true")) for k in classes])).alias("c")
+    n = df.select("symbol", each).select("symbol", "c.*").groupBy("symbol", "class").agg(F.count_if(F.col("said") & F.col("true")).alias("hit"), F.count_if("said").alias("said"), F.count_if("true").alias("support"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+    hit, said, true = F.col("hit"), F.col("said"), F.col("support")
+    return n.select("symbol", "class", ratio(hit, said).alias("precision"), ratio(hit, true).alias("recall"), ratio(2 * hit, said + true).alias("f1"), "support")
+
+
+def report_text(report: DataFrame) -> str:
+    """``class_report`` as text; a few rows for each symbol."""
+    lines = [f"{'symbol':<12}{'class':>6}{'precision':>11}{'recall':>9}{'f1':>9}{'support':>9}"]
+    for r in report.orderBy("symbol", "class").toLocalIterator():
+        lines.append(f"{r['symbol']:<12}{r['class']:>6}{r['precision']:>11.4f}{r['recall']:>9.4f}{r['f1']:>9.4f}{r['support']:>9}")
+    return "\n".join(lines)
+
+
 def pip_size(symbol: Column) -> Column:
     return F.when(F.contains(symbol, F.lit("JPY")), 0.01).otherwise(0.0001)
 
@@ -99,6 +142,8 @@ def trading_metrics(df: DataFrame, costs: Costs = Costs()) -> DataFrame:
         "avg_win_pips", "avg_loss_pips",
         F.when(F.col("n_trades") == 0, 0.0).when(F.col("_loss") > 0, F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("profit_factor"),
         "avg_holding_period",
+        F.when(F.col("n_trades") > 0, costs.total).alias("total_cost_per_trade_pips"),
+        F.when(F.col("n_trades") > 0, F.coalesce(costs.total / F.nullif(F.abs(mean), F.lit(0.0)), F.lit(float("inf")))).alias("cost_as_pct_of_avg_return"),
     )
 
 

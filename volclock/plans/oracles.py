@@ -212,11 +212,27 @@ SELECT * FROM o WHERE returns_1 IS NOT NULL AND returns_3 IS NOT NULL AND bb_wid
     "leakage_check": f"WITH {FOLDS} SELECT symbol, CAST(fold AS INTEGER) AS fold, count(*) FILTER (role = 'train' AND t1 >= test_time) AS n_leaking, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test FROM role GROUP BY ALL",
     "confidence_filter": f"WITH {SCORED}, a AS (SELECT symbol, count(*) FILTER (class <> 1) AS before, count(*) FILTER (class <> 1 AND best >= 0.55) AS after FROM sc GROUP BY symbol) SELECT symbol, before, after, round(coalesce(100 * (before - after) / nullif(before, 0), 0), 6) AS filtered_pct FROM a",
     "position_size": f"WITH {SCORED} SELECT symbol, time, CASE WHEN best >= 0.75 THEN 1.0::DOUBLE WHEN best >= 0.6 THEN 0.5 WHEN best >= 0.45 THEN 0.25 ELSE 0 END AS size, CASE WHEN best >= 0.75 THEN 4.0::DOUBLE WHEN best >= 0.6 THEN 2 WHEN best >= 0.45 THEN 1 ELSE 0.5 END AS lots FROM sc",
+    "live_gate": f"""WITH {SCORED} SELECT symbol, time, CASE WHEN best > 0.5 AND class <> 1 THEN class - 1 ELSE 0 END AS signal,
+  CASE WHEN extract(hour FROM time) & 1 <> 0 THEN 'fok' WHEN extract(hour FROM time) & 2 <> 0 THEN 'ioc' ELSE 'return' END AS fill FROM sc""",
+    "latest_quotes": plain("round(low, 6) AS bid, round(low + spread / 1000, 6) AS ask, (low + spread / 1000 - low) / 0.01 <= 0.35 AS tradable FROM c QUALIFY time = max(time) OVER (PARTITION BY symbol)"),
+    "null_rows": f"WITH {C}, k AS (SELECT symbol, {chg(1)} IS NULL OR {chg(12)} IS NULL OR {chg(48)} IS NULL AS missing FROM c) SELECT symbol, count(*) AS n_rows, count(*) FILTER (missing) AS n_null_rows FROM k GROUP BY symbol",
+    "class_report": f"""WITH {SCORED}, k AS (SELECT s.symbol, g.class, count(*) FILTER (s.class - 1 = g.class AND label = g.class) AS hit, count(*) FILTER (s.class - 1 = g.class) AS said, count(*) FILTER (label = g.class) AS support
+  FROM sc s, (SELECT unnest([-1, 0, 1]) AS class) g GROUP BY ALL)
+SELECT symbol, class, {r6(precision='coalesce(hit / nullif(said, 0), 0)', recall='coalesce(hit / nullif(support, 0), 0)', f1='coalesce(2 * hit / nullif(said + support, 0), 0)')}, support FROM k""",
+    "tpsl_prices": plain(
+        "round(round_even(CASE WHEN buy THEN high + 0.7 * w ELSE low - 0.7 * w END, 4), 6) AS tp, round(round_even(CASE WHEN buy THEN high - 0.4 * w ELSE low + 0.4 * w END, 4), 6) AS sl, CASE WHEN contains(symbol, 'JPY') THEN 0.01::DOUBLE ELSE 0.0001 END AS pip FROM k",
+        f"{C}, {R}, {VOLATILITY}, k AS (SELECT *, daily_vol * ({MULT}) AS w, extract(hour FROM time) % 2 = 0 AS buy FROM v WHERE daily_vol IS NOT NULL)",
+    ),
+    "cross_tf": f"""{EXPONENTIAL}, {candle(15, 'm')}, n2 AS ({NUMBERED.removeprefix('n AS (').removesuffix('FROM c)')} FROM m), {means('e2', 'n2')},
+g AS (SELECT symbol, time, lag(fast - slow) OVER ({W}) AS cross_h1, lag({RSI}) OVER ({W}) AS rsi_h1, lag(fast - slow - signal) OVER ({W}) AS hist_h1 FROM e QUALIFY row_number() OVER ({W}) > 1),
+f AS (SELECT symbol, time, fast - slow AS cr, {RSI} AS rsi, fast - slow - signal AS hist FROM e2)
+SELECT f.symbol, f.time, CAST(sign(cr) * sign(cross_h1) AS DOUBLE) AS trend_alignment, round(rsi - rsi_h1, 6) AS m5_vs_h1_rsi_divergence, CAST(sign(hist) * sign(hist_h1) AS DOUBLE) AS macd_alignment
+FROM f ASOF LEFT JOIN g ON f.symbol = g.symbol AND f.time >= g.time""",
     "trade_sim": f"WITH RECURSIVE {SIMULATED} SELECT symbol, time, predicted, traded, round(pnl, 6) AS pnl FROM tr",
     "trading_metrics": f"""WITH RECURSIVE {SIMULATED}, a AS (SELECT symbol, count(*) FILTER (traded) AS n, count(*) FILTER (predicted <> 0) AS sig, coalesce(sum(pnl) FILTER (traded), 0) AS total, count(*) FILTER (traded AND pnl > 0) AS wins,
   coalesce(avg(pnl) FILTER (traded AND pnl > 0), 0) AS aw, coalesce(avg(pnl) FILTER (traded AND pnl < 0), 0) AS al, coalesce(sum(pnl) FILTER (traded AND pnl > 0), 0) AS gain, coalesce(abs(sum(pnl) FILTER (traded AND pnl < 0)), 0) AS loss,
   coalesce(avg(holding_period) FILTER (traded), 0) AS hold FROM tr GROUP BY symbol)
-SELECT symbol, n AS n_trades, {r6(signals_filtered='coalesce((sig - n) / nullif(sig, 0), 0)', expected_return_pips='coalesce(total / nullif(n, 0), 0)', expected_return_after_costs_pips='CASE WHEN n > 0 THEN total / nullif(n, 0) - 1.7 ELSE 0 END', total_pnl_pips='total', total_pnl_after_costs_pips='total - n * 1.7', win_rate='coalesce(wins / nullif(n, 0), 0)', avg_win_pips='aw', avg_loss_pips='al', profit_factor="CASE WHEN n = 0 THEN 0 WHEN loss > 0 THEN gain / nullif(loss, 0) ELSE 'inf'::DOUBLE END", avg_holding_period='hold')} FROM a""",
+SELECT symbol, n AS n_trades, {r6(signals_filtered='coalesce((sig - n) / nullif(sig, 0), 0)', expected_return_pips='coalesce(total / nullif(n, 0), 0)', expected_return_after_costs_pips='CASE WHEN n > 0 THEN total / nullif(n, 0) - 1.7 ELSE 0 END', total_pnl_pips='total', total_pnl_after_costs_pips='total - n * 1.7', win_rate='coalesce(wins / nullif(n, 0), 0)', avg_win_pips='aw', avg_loss_pips='al', profit_factor="CASE WHEN n = 0 THEN 0 WHEN loss > 0 THEN gain / nullif(loss, 0) ELSE 'inf'::DOUBLE END", avg_holding_period='hold', total_cost_per_trade_pips='CASE WHEN n > 0 THEN 1.7::DOUBLE END', cost_as_pct_of_avg_return="CASE WHEN n > 0 THEN coalesce(1.7 / nullif(abs(total / n), 0), 'inf'::DOUBLE) END")} FROM a""",
     "daily_sharpe": f"""WITH RECURSIVE {SIMULATED}, d AS (SELECT symbol, CAST(time AS DATE) - CAST(greatest(isodow(time) - 5, 0) AS INTEGER) AS day, sum(pnl - CASE WHEN traded THEN 1.7 ELSE 0 END) AS net FROM tr GROUP BY 1, 2),
 x AS (SELECT symbol, CAST(unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY symbol), y AS (SELECT x.symbol, coalesce(net, 0) AS net FROM x LEFT JOIN d USING (symbol, day) WHERE isodow(x.day) < 6)
 SELECT symbol, count(*) AS n_days, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(250) ELSE 0 END, 6) AS sharpe_ratio FROM y GROUP BY symbol""",

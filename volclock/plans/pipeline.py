@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from volclock.config import Features
 from volclock.operators import asof, bars, features, fracdiff
@@ -22,6 +23,18 @@ FEATURES = [*features.H1, "frac_diff_close", *INDICATORS, *MICRO, *CROSS, *SESSI
 LEGACY = ["frac_diff_close", *INDICATORS, *MICRO]
 
 
+LEAST_BARS = 500
+LEAST_LEGACY_BARS = 200
+
+
+def require_bars(df: DataFrame, least: int = LEAST_BARS) -> DataFrame:
+    """``df``; a symbol with fewer rows is an error. This counts at once, so it is a step of its own."""
+    few = df.groupBy("symbol").count().filter(F.col("count") < least).orderBy("symbol").take(3)
+    if few or df.isEmpty():
+        raise ValueError(f"fewer than {least} bars: " + (", ".join(f"{r['symbol']} {r['count']}" for r in few) or "none at all"))
+    return df
+
+
 def build_features(fast: DataFrame, slow: DataFrame, cfg: Features = Features(), d: float = 0.4, use_bars: bool = True, session_window: tuple[int, int] = (1440, 288)) -> DataFrame:
     """symbol, time and the 58 features, without rows that miss any.
 

@@ -310,6 +310,32 @@ def confidence_filter(spark, sf_dir):
     return trading.confidence_report(scored(spark, sf_dir).withColumnRenamed("class", "predicted"), 0.55)
 
 
+@query
+def live_gate(spark, sf_dir):
+    signal = trading.live_signal(F.col("probabilities"), 0.5)
+    mask = F.pmod(F.hour("time"), F.lit(4)).cast("int")
+    return only(scored(spark, sf_dir).withColumns({"signal": signal, "fill": trading.fill_mode(mask)}), "signal", "fill")
+
+
+@query
+def latest_quotes(spark, sf_dir):
+    from volclock.streaming.live import latest_quotes, tradable
+
+    q = h1(spark, sf_dir).select("symbol", "time", F.col("low").alias("bid"), (F.col("low") + F.col("spread") / 1000).alias("ask"))
+    out = latest_quotes(q).withColumn("tradable", tradable(F.col("bid"), F.col("ask"), F.lit(PIP), 0.35))
+    return only(out, "bid", "ask", "tradable")
+
+
+@query
+def null_rows(spark, sf_dir):
+    return trading.null_rows(features.returns(h1(spark, sf_dir), (1, 12, 48)), ["returns_1", "returns_12", "returns_48"])
+
+
+@query
+def class_report(spark, sf_dir):
+    return trading.class_report(scored(spark, sf_dir).withColumn("predicted", F.col("class") - 1))
+
+
 @query
 def position_size(spark, sf_dir):
     best = F.array_max("probabilities")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -94,7 +95,8 @@ def load_bars(spark: SparkSession, path: str, symbol: str = "EURUSD", cfg: Clean
 
 def load_dual(spark: SparkSession, m5: str, h1: str, symbol: str = "EURUSD", cfg: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:
     a, b = load_bars(spark, m5, symbol, cfg), load_bars(spark, h1, symbol, cfg)
-    check_overlap(a, b)
+    if not check_overlap(a, b):
+        warnings.warn("the two tables have less than 90 days in common", stacklevel=2)
     return a, b
 
 

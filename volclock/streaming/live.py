@@ -70,13 +70,13 @@ def streamed_bars(candles: DataFrame, threshold: float = 1500) -> DataFrame:
 
 
 def gated_signals(signals: DataFrame, cfg: Training = Training()) -> DataFrame:
-    """Accepted signals of a stream (symbol, time, signal, t1).
+    """Accepted signals of a stream (symbol, time, signal).
 
     The state of a symbol holds the time of the last bar seen, of the last entry, and the ends
-    of open trades, in microseconds. The first bar of a symbol only starts the state; older
+    of open trades (their holding limit), in microseconds. The first bar of a symbol only starts the state; older
     bars than the last one are stale.
     """
-    pause = cfg.cooldown_minutes * 60_000_000
+    pause, longest = cfg.cooldown_minutes * 60_000_000, cfg.max_hold * cfg.bar_minutes * 60_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, entered, ends = state.get if state.exists else (None, None, [])
@@ -85,10 +85,10 @@ def gated_signals(signals: DataFrame, cfg: Training = Training()) -> DataFrame:
             now = r.time.value // 1000
             started, fresh = seen is not None, seen is None or now > seen
             seen = now if fresh else seen
-            ends = [e for e in ends if e > now]
+            ends = [e for e in ends if e >= now]
             if started and fresh and r.signal != 0 and len(ends) < cfg.max_open_trades and (entered is None or now - entered >= pause):
                 entered = now
-                ends.append(r.t1.value // 1000 if pd.notna(r.t1) else now)
+                ends.append(now + longest)
                 out.append((key[0], r.time, int(r.signal)))
         state.update((seen, entered, ends))
         yield pd.DataFrame(out, columns=["symbol", "time", "signal"])
@@ -98,16 +98,28 @@ def gated_signals(signals: DataFrame, cfg: Training = Training()) -> DataFrame:
     )
 
 
+def latest_quotes(quotes: DataFrame) -> DataFrame:
+    """The newest quote (bid, ask, ...) of each symbol."""
+    return quotes.groupBy("symbol").agg(F.max_by(F.struct(*[n for n in quotes.columns if n != "symbol"]), "time").alias("_q")).select("symbol", "_q.*")
+
+
 class SimulatedBroker:
     """Keeps orders by an idempotent id, so that a batch that runs again changes nothing."""
 
     def __init__(self) -> None:
         self.orders: dict[str, dict] = {}
+        self.connected = False
+
+    def connect(self) -> None:
+        self.connected = True
+
+    def disconnect(self) -> None:
+        self.connected = False
 
     def send(self, order_id: str, **order) -> bool:
-        fresh = order_id not in self.orders
+        """Whether the order is held, now or from an earlier run."""
         self.orders.setdefault(order_id, order)
-        return fresh
+        return True
 
     def open_positions(self, now, longest_minutes: float | None = None) -> list[str]:
         late = lambda o: longest_minutes is not None and (now - o["time"]).total_seconds() > longest_minutes * 60
