@@ -46,7 +46,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Tokenising and packing can't be told in SQL. Tests cover the stages one by one.
+#: Tokenising and packing can't be told in SQL. tests/llm/test_pipeline.py holds the
+#: chain against plain versions, stage by stage.
 ORACLE_SQL = None
 
 
