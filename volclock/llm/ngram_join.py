@@ -14,7 +14,7 @@ on the whole sets.
   sizes, places and a signature of parities are part of the join's condition, so that of a
   long list of documents only likely pairs become rows.
 - Thousands of near copies share thousands of tokens. Their pairs are not enumerated: classes
-  are verified against one hub of each token's list first, and after that only candidates
+  are verified against one hub of each long list first, and after that only candidates
   from different components, which is all that the components of the graph depend on.
 
 Defined results: null text, and text without words, has an empty set and links with nothing; a
@@ -26,7 +26,7 @@ gives an empty result. Columns of the caller keep their values, whatever their n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -46,6 +46,9 @@ ORDERS = 3
 TABLE = 1_000_000
 #: So many tokens are summarised at a time, by the counts of at most so many of them.
 SUMMARISED, SUMMARY = 1 << 21, 1 << 16
+#: The classes of a token in at most so many prefixes are paired at once; longer lists go through
+#: a hub first.
+FEW = 3
 #: Words of 64 bits in a signature.
 PARITY = 4
 #: A task emits the prefix of a class once, as far as it remembers its last classes.
@@ -201,19 +204,21 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
 
 
 def repeated_tokens(rows: DataFrame, temporary: Temporary):
-    """A Bloom filter, sent to all workers, of the tokens that are in several prefixes."""
-    repeated = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-    repeated = temporary.stored(repeated.select("token"), "jac-repeated")
-    sent = rows.sparkSession.sparkContext.broadcast(Bloom.of(repeated))
-    temporary.drop(repeated)
+    """Two Bloom filters, sent to all workers: of the tokens that are in several prefixes, and of
+    those in more than ``FEW``."""
+    counted = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    counted = temporary.stored(counted, "jac-repeated")
+    context = rows.sparkSession.sparkContext
+    sent = [context.broadcast(Bloom.of(counted.filter(F.col("k") > least).select("token"))) for least in (1, FEW)]
+    temporary.drop(counted)
     return sent
 
 
-def postings(lists: DataFrame, repeated) -> DataFrame:
-    """token, place and the other columns for each token of ``prefix`` that may be in several
-    prefixes. Only these travel; when the filter is full, more of them do."""
+def pruned(lists: DataFrame, repeated) -> DataFrame:
+    """``lists`` with ``tokens``, those of ``prefix`` that may be in several prefixes, and their
+    ``places`` there. Rows without such tokens are left out."""
     others = lists.drop("prefix")
-    names = ["token", "place", *others.columns]
+    names = ["tokens", "places", *others.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,14 +226,33 @@ def postings(lists: DataFrame, repeated) -> DataFrame:
             starts, lengths = prefix.offsets.to_numpy()[:-1], np.diff(prefix.offsets.to_numpy())
             token, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(prefix)), lengths)
             place = np.arange(len(token)) - np.repeat(starts - starts[0], lengths) if len(token) else of
-            use = np.nonzero(repeated.value.holds(token))[0]
-            columns = [pa.array(token[use]), pa.array(place[use]), *[c.take(pa.array(of[use])) for c in batch.columns[1:]]]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            use = repeated.value.holds(token)
+            left = np.bincount(of[use], minlength=len(prefix))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+            both = [pa.ListArray.from_arrays(offsets, pa.array(v[use])) for v in (token, place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*both, *batch.columns[1:]], names).filter(pa.array(left > 0))
 
-    schema = ", ".join(["token long, place long", *[f"{f.name} {f.dataType.simpleString()}" for f in others.schema.fields]])
+    schema = ", ".join(["tokens array<long>, places array<int>", *[f"{f.name} {f.dataType.simpleString()}" for f in others.schema.fields]])
     return lists.select("prefix", *others.columns).mapInArrow(run, schema)
 
 
+def postings(lists: DataFrame, chosen: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """token, place and the other columns for each of the ``chosen`` tokens. Only these travel."""
+    others = lists.drop("tokens", "places")
+    names = ["token", "place", *others.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, place = (batch.column(i).flatten() for i in (0, 1))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+            use = np.nonzero(chosen(token.to_numpy()))[0]
+            at, row = pa.array(use), pa.array(of[use])
+            yield pa.RecordBatch.from_arrays([token.take(at), place.take(at), *[c.take(row) for c in batch.columns[2:]]], names)
+
+    schema = ", ".join(["token long, place int", *[f"{f.name} {f.dataType.simpleString()}" for f in others.schema.fields]])
+    return lists.select("tokens", "places", *others.columns).mapInArrow(run, schema)
+
+
 def apart(n: Column, m: Column, numerator: int, denominator: int) -> Column:
     """How many tokens can be in only one of two similar sets of n and m tokens, as they have at
     least t (n + m) / (1 + t) in common."""
@@ -253,10 +277,10 @@ def first_shared(a: dict[str, Column], b: dict[str, Column], numerator: int, den
 FIELDS = ("cls", "n", "place", *SIGNATURE)
 
 
-def starred(lists: DataFrame, repeated, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b) of each token's classes with a hub of its list, the first by class, where
-    alike. Hubs are found by partial aggregates, and the join with them can be split."""
-    found = postings(lists, repeated)
+def starred(lists: DataFrame, crowded, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of each crowded token's classes with a hub of its list, the first by class,
+    where alike. Hubs are found by partial aggregates, and the join with them can be split."""
+    found = postings(lists, lambda tokens: crowded.value.holds(tokens))
     hubs = found.groupBy("token").agg(F.min(F.struct(*FIELDS)).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub")
     own, hub = ({f: F.col(f"{prefix}{f}") for f in FIELDS} for prefix in ("", "hub."))
     # where parities can't tell large sets apart, a pair waits for what may be its first token
@@ -265,17 +289,26 @@ def starred(lists: DataFrame, repeated, numerator: int, denominator: int) -> Dat
     return met.select(F.col("cls").alias("a"), hub["cls"].alias("b"))
 
 
-def crossing(lists: DataFrame, repeated, roots: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b) of different components, alike and met at what may be their first shared token."""
+def crossing(lists: DataFrame, crowded, roots: DataFrame, temporary: Temporary, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of different components, alike and met at what may be their first shared
+    token. Crowded tokens of a single component have none, and don't travel."""
     once = lists.dropDuplicates(["cls"]).join(roots, F.col("cls") == F.col("node"), "left")
-    named = postings(once.select(*lists.columns, F.coalesce("root", "cls").alias("root")), repeated)
-    mixed = named.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
-    named = named.join(mixed, "token")
+    once = temporary.stored(once.select(*lists.columns, F.coalesce("root", "cls").alias("root")), "jac-once")
+    ends = postings(once.select("tokens", "places", "root"), lambda tokens: crowded.value.holds(tokens))
+    mixed = ends.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("token")
+    mixed = temporary.stored(mixed, "jac-mixed")
+    open_ = lists.sparkSession.sparkContext.broadcast(Bloom.of(mixed))
+    # what passes the filter of crowded tokens by chance was among ``ends`` as well
+    named = postings(once, lambda tokens: ~crowded.value.holds(tokens) | open_.value.holds(tokens))
+    named = temporary.stored(named, "jac-named")
+    temporary.drop(once, mixed)
     left, right = (named.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
     a, b = ({f: F.col(f"{f}_{side}") for f in FIELDS} for side in "lr")
     likely = alike(a, b, numerator, denominator) & first_shared(a, b, numerator, denominator)
     met = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely)
-    return met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b"))
+    pairs = temporary.stored(met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct(), "jac-met")
+    temporary.drop(named)
+    return pairs
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
@@ -348,7 +381,8 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
     rows = temporary.stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     lists = rows.filter("prefix is not null").select("prefix", "cls", "n", *SIGNATURE)
-    repeated = repeated_tokens(rows, temporary)
+    repeated, crowded = repeated_tokens(rows, temporary)
+    lists = temporary.stored(pruned(lists, repeated), "jac-lists")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = temporary.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-candidates")
@@ -362,10 +396,10 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
         temporary.drop(near, members, sets)
         return links
 
-    links = check(starred(lists, repeated, numerator, denominator), "jac-starred")
+    links = check(starred(lists, crowded, numerator, denominator), "jac-starred")
     # what is left: candidates from different components
     roots = components(links, temporary.stored)
-    more = check(crossing(lists, repeated, roots, numerator, denominator), "jac-crossing")
+    more = check(crossing(lists, crowded, roots, temporary, numerator, denominator), "jac-crossing")
     if not more.isEmpty():
         stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(more), temporary.stored)
