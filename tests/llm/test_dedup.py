@@ -25,6 +25,14 @@ def test_near_groups(spark, ngram, numerator):
         assert got(found) == expected
 
 
+@pytest.mark.parametrize("few", [1, 1 << 40])
+def test_near_groups_with_and_without_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    docs = awkward.documents(spark)
+    expected = brute.near_groups(texts(docs), 5, 80, 100)
+    assert got(ngram_join.similar_groups(docs).select("doc_id", "n_shingles", "component_id")) == expected
+
+
 def test_near_groups_small(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     expected = brute.near_groups(texts(docs), 3, 90, 100)
