@@ -109,3 +109,86 @@ def threads(messages, split, least=3):
         met = {root[c] for c in above[conv]} | {root[conv]}
         root = {c: min(met) if r in met else r for c, r in root.items()}
     return {(c, t): (root[c], level[c], sorted(to)) for (c, t), to in links.items()}
+
+
+def common_lines(docs, least_chars, least_docs):
+    """docs: [(doc_id, text)]. Counter of (doc_id, n_lines, n_dropped, what is left)."""
+    blank = " \t\n\x0b\f\r"
+    holders = {}
+    for d, text in docs:
+        for line in (text or "").split("\n"):
+            key = line.strip(blank).translate(LOWER)
+            if len(key) >= least_chars:
+                holders.setdefault(key, set()).add(d)
+    last = {k: max(h, key=lambda d: (d is not None, d or 0)) for k, h in holders.items() if len(h) >= least_docs}
+    out = Counter()
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if last.get(x.strip(blank).translate(LOWER), d) == d]
+        out[d, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    return out
+
+
+def divergence(docs, least_docs, top):
+    """docs: [(lang, source, text)]. Rows of the audit, every term of every pair taken by itself."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    counts, held, whole = {}, {}, {}
+    for lang, source, text in docs:
+        lang, source = lang or "", source or ""
+        found = Counter(term.findall((text or "").translate(LOWER)))
+        counts.setdefault(lang, {}).setdefault(source, Counter()).update(found)
+        held.setdefault(lang, Counter()).update(set(found))
+        whole.setdefault(lang, Counter()).update(found)
+    out = []
+    for lang, sources in counts.items():
+        kept = [t for t, n in held[lang].items() if n >= least_docs]
+
+        def numbers(c, kept=kept):
+            total = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        p, q = {s: numbers(c) for s, c in sources.items()}, numbers(whole[lang])
+        for s, c in sources.items():
+            f = lambda a, b: (a - b) ** 2 // (a + b)
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            told = [(t, f(p[s][t], q[t])) for t in kept if c[t] > 0 and p[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", told, top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, i, v, k + 1) for k, (i, v) in enumerate(ranked)]
+    return sorted(out)
+
+
+def vector_codes(rows, parts, entries, rounds, scale):
+    """rows: [(vec_id, vector, label)]. Sorted (vec_id, code, error, label_error, sha256)."""
+    import math
+
+    ints = []
+    for d, v, label in rows:
+        if v and len(v) % parts == 0 and all(x is not None and math.isfinite(x) and abs(x) < (1 << 24) / scale for x in v):
+            ints.append((d, tuple(math.floor(x * scale) for x in v), label))
+    out = []
+    for size in {len(v) for _, v, _ in ints}:
+        own = [r for r in ints if len(r[1]) == size]
+        m = size // parts
+        cut = [[v[i * m : (i + 1) * m] for i in range(parts)] for _, v, _ in own]
+        first = sorted({(d is None, d or 0, v) for d, v, _ in own})[:entries]
+        book = [[v[i * m : (i + 1) * m] for _, _, v in first] for i in range(parts)]
+
+        def near(x, i, book=book):
+            return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), k) for k, c in enumerate(book[i]))
+
+        for _ in range(rounds):
+            found = [[near(x, i)[1] for i, x in enumerate(v)] for v in cut]
+            for i in range(parts):
+                for k in range(len(first)):
+                    mine = [v[i] for v, f in zip(cut, found, strict=True) if f[i] == k]
+                    if mine:
+                        book[i][k] = tuple(sum(c) // len(mine) for c in zip(*mine, strict=True))
+        sha = hashlib.sha256(",".join(str(x) for part in book for c in part for x in c).encode()).hexdigest()
+        for (d, _, label), v in zip(own, cut, strict=True):
+            found = [near(x, i) for i, x in enumerate(v)]
+            out.append((d, "".join(f"{k:02x}" for _, k in found), sum(e for e, _ in found), label, sha))
+    total = Counter()
+    for _, _, e, label, _ in out:
+        total[label] += e
+    return Counter((d, code, e, total[label], sha) for d, code, e, label, sha in out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from volclock.llm import mixing, quality_rules
+from volclock.llm import codes, divergence, lines, mixing, quality_rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -138,4 +138,88 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op5_ngram_jaccard": OP5, "op6_quality_rules": OP6, "op8_substring_dedup": OP8}
+_P = f"""v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (n // {codes.PARTS}) AS part, (i - 1) % (n // {codes.PARTS}) AS place, v[i] AS x
+  FROM (SELECT vec_id, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (
+  SELECT part, entry, place, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < {codes.ENTRIES}) USING (vec_id))"""
+
+
+def _rounds() -> str:
+    out = ""
+    for i in range(codes.ROUNDS + 1):
+        out += f"""
+d{i} AS MATERIALIZED (
+  SELECT vec_id, part, min((d, entry)) AS best FROM (
+    SELECT vec_id, part, entry, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{i} c USING (part, place) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),"""
+        if i < codes.ROUNDS:
+            out += f"""
+n{i} AS MATERIALIZED (SELECT part, best[2] AS entry, place, sum(x) AS total, count(*) AS n FROM d{i} JOIN p USING (vec_id, part) GROUP BY 1, 2, 3),
+c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, place, CASE WHEN n IS NULL THEN x ELSE CAST((total - ((total % n) + n) % n) // n AS BIGINT) END AS x
+  FROM c{i} LEFT JOIN n{i} USING (part, entry, place)),"""
+    return out
+
+
+OP11 = f"""
+WITH {_P},{_rounds()}
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM d{codes.ROUNDS} GROUP BY vec_id),
+printed AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM c{codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), printed
+"""
+
+_PROBABILITY = "1 + CAST((1000000000 * (CAST({n} AS HUGEINT) + 2)) // ({total} + 2 * v) AS BIGINT)"
+
+#: Every term of every pair of sources, without any saving.
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {divergence.LEAST_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS of_lang FROM kept GROUP BY 1),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2),
+sources AS MATERIALIZED (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, of_lang
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)),
+dense AS MATERIALIZED (
+  SELECT lang, source, term, n, {_PROBABILITY.format(n="coalesce(n, 0)", total="total")} AS p, {_PROBABILITY.format(n="n_lang", total="of_lang")} AS q
+  FROM sources JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+both_parts AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM dense WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts
+QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.UPPER}', '{lines.LOWER}') AS key
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+common AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= {lines.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.LEAST_DOCS})
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (last IS NOT NULL AND doc_id <> last) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM l LEFT JOIN common USING (key) GROUP BY r
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": OP1, "op5_ngram_jaccard": OP5, "op6_quality_rules": OP6, "op8_substring_dedup": OP8,
+    "op11_vector_codes": OP11, "op12_source_divergence": OP12, "op13_line_dedup": OP13,
+}
