@@ -80,3 +80,31 @@ def test_without_repeats(spark):
     assert {(d, hashlib.sha256(" ".join(brute.words(t)).encode()).hexdigest()) for d, t in texts(out)} == expected
     assert substring.without_repeats(awkward.empty(spark)).collect() == []
     assert substring.removal_report(awkward.empty(spark)).collect() == []
+
+
+def test_words_that_differ_in_a_pattern(spark):
+    """A Thue-Morse word and its complement, which hash alike as polynomials modulo 2^64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper()), (4, "x" * 65), (5, "X" * 65), (6, "é" * 40), (7, "É" * 40)]
+    found = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_equal_ranks_go_by_token(monkeypatch):
+    """With one rank for all tokens, prefixes are the smallest tokens, in every set alike."""
+    import numpy as np
+
+    from volclock.llm.wordhash import WordHasher
+
+    monkeypatch.setattr(ngram_join.Order, "ranks", staticmethod(lambda tokens, frequencies, order: np.zeros(len(tokens), np.uint64)))
+    sets = ngram_join.Sets([" ".join(f"w{i}" for i in range(60)).encode()], WordHasher(), 1)
+    (prefix,) = sets.prefixes(np.zeros(60, np.uint64), 0, 80, 100)
+    assert prefix.tolist() == np.sort(sets.tokens)[: ngram_join.prefix_length(60, 80, 100)].tolist()
+
+
+def test_one_of_each_group_with_maps(spark):
+    docs = awkward.documents(spark)
+    more = docs.selectExpr("*", "map('a', map(coalesce(doc_id, 0), text)) as m", "array(named_struct('x', map(1, doc_id))) as more")
+    kept = ngram_join.one_of_each_group(more)
+    assert kept.columns == more.columns
+    assert Counter(tuple(r)[:10] for r in kept.collect()) == Counter(tuple(r) for r in ngram_join.one_of_each_group(docs).collect())

@@ -193,3 +193,11 @@ def test_quotes(spark):
 @pytest.mark.parametrize("p, m, x", [(0.95, 8, 15.507), (0.5, 2, 1.386)])
 def test_chi_square(p, m, x):
     assert abs(ann.chi_square_quantile(p, m) - x) < 1e-3
+
+
+def test_language_number_signs_are_no_letters(spark):
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(["the quick brown fox", "der schnelle braune Fuchs"] * 20)]
+    asked = [(1000, "² ½ ①"), (1001, "Ⅷ"), (1002, "１２"), (1003, "ª"), (1004, "fox Ⅷ")]
+    docs = spark.createDataFrame(rows + [(d, t, None) for d, t in asked], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert [got[d] for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1003] != "und" and got[1004] != "und"

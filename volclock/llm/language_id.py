@@ -16,12 +16,12 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +36,9 @@ ROUNDS = 12
 REJECT_SHARE = 0.01
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters are the Unicode categories L*, so that number signs such as superscripts are none.
+_OTHER = regex.compile(r"\P{L}+")
+_LETTER = regex.compile(r"\p{L}")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 

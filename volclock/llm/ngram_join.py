@@ -99,7 +99,9 @@ class Sets:
         out = []
         for tokens, ranks in zip(self.of(self.tokens), self.of(Order.ranks(self.tokens, frequencies, k)), strict=True):
             length = prefix_length(len(tokens), numerator, denominator) if len(tokens) else 0
-            least = np.argpartition(ranks, length - 1)[:length] if 0 < length < len(tokens) else np.arange(length)
+            least = np.sort(np.argpartition(ranks, length - 1)[:length]) if 0 < length < len(tokens) else np.arange(length)
+            if 0 < length < len(tokens) and np.count_nonzero(ranks <= ranks[least].max()) > length:
+                least = np.argsort(ranks, kind="stable")[:length]  # equal ranks at the end: smaller tokens first
             out.append(tokens[least[np.argsort(ranks[least], kind="stable")]])
         return out
 
@@ -199,8 +201,9 @@ def token_sets(docs: DataFrame, ngram: int, numerator: int, denominator: int, ta
                     columns.append(_lists([np.unique(p.astype(np.int32)) for p in lists] if k else lists, absent))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", *SIGNATURE, "prefix", *OTHERS])
 
-    schema = "doc_id long, n long, cls binary" + "".join(f", {s} long" for s in SIGNATURE) + ", prefix array<long>" + "".join(f", {p} array<int>" for p in OTHERS)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n long, cls binary" + "".join(f", {s} long" for s in SIGNATURE) + ", prefix array<long>" + "".join(f", {p} array<int>" for p in OTHERS)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def repeated_tokens(rows: DataFrame, temporary: Temporary):
@@ -327,7 +330,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                 columns = [pa.array(sets.digests(), pa.binary()), pa.array([s.tobytes() for s in sets.of(sets.tokens)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens"])
 
-    again = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("at")).mapInArrow(run, "cls binary, tokens binary")
+    again = docs.select("text", F.xxhash64("doc_id").alias("at")).mapInArrow(run, "cls binary, tokens binary")
     return again.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -375,7 +378,10 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n and cls of each document; node and root of each class that is linked)."""
+    """(doc_id, n and cls of each document; node and root of each class that is linked).
+
+    A doc_id of any type that can be compared and hashed does.
+    """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequency_table(docs, temporary, ngram))
     rows = temporary.stored(token_sets(docs, ngram, numerator, denominator, table), "jac-docs")
@@ -408,6 +414,7 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Temporary(docs.sparkSession) as temporary:
         rows, roots = linked_classes(docs, temporary, ngram, numerator, denominator)
         by_class = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("_first"))
@@ -420,15 +427,22 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERAT
         return stored(joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "jac-groups")
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of SHA-256; null as the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """One row of ``docs`` for each group, and all rows without words, repeated ones too.
 
     A row belongs to a group by its text, whatever its doc_id: other rows may share that, and it
     may be null. The row with the smallest doc_id stays, one with null only if the group has no
-    other; among rows with that doc_id, the one with the smallest hash.
+    other; among rows with that doc_id, the one with the smallest hash. Texts stand by 128 bits of
+    SHA-256; the hash of a row only picks among rows of one text. Columns of any type do, maps too.
     """
     by_text, by_row = fresh(docs, "text_key", "row_key")
-    text, row = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    # maps can't be hashed as they are
+    text, row = text_digest(F.col("text")), F.xxhash64(*[F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
     keys = docs.select(text.alias("text_key"), row.alias("row_key"), F.col("doc_id").cast("long").alias("id"))
     with Temporary(docs.sparkSession) as temporary:
         rows, roots = linked_classes(docs.select(text.alias("doc_id"), "text"), temporary, ngram, numerator, denominator)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,10 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: So many bytes of text are looked at together; a longer text is looked at alone.
 CHUNK_BYTES = 1 << 20
 
+#: Words of more bytes are hashed by BLAKE2b: of long words, a polynomial modulo a power of two
+#: takes some for equal that differ in a pattern, whatever its base.
+LONG_WORD = 64
+
 #: ASCII white space separates words.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: All of ASCII but letters and digits.
@@ -58,7 +63,8 @@ class Words:
 
 
 class WordHasher:
-    """Hashes words by a polynomial over their bytes, so that no word is made a Python object.
+    """Hashes words by a polynomial over their bytes, so that no word is made a Python object but
+    those of more than ``LONG_WORD`` bytes.
 
     ``separators`` are the bytes between words; ``fold`` maps bytes first. Both leave bytes
     of multi-byte characters alone, so UTF-8 is never cut.
@@ -67,6 +73,7 @@ class WordHasher:
     def __init__(self, separators: bytes = SPACES, fold: bytes = AS_IS, seed: int = 1):
         rng = np.random.default_rng(seed)
         value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.fold = fold
         self.value = value[np.frombuffer(fold, np.uint8)]
         self.between = np.zeros(256, bool)
         self.between[np.frombuffer(separators, np.uint8)] = True
@@ -104,6 +111,9 @@ class WordHasher:
             s, e = starts[a:b] - low, ends[a:b] - low
             hashes[a:b] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
             a = b
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            word = data[starts[i] : ends[i]].tobytes().translate(self.fold)
+            hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         text_starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         first = np.searchsorted(starts, text_starts)
