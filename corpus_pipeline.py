@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from volclock.llm import mixing, ngram_join, packing, quality_rules, substring
-from volclock.llm.scratch import stored
+from volclock.llm.scratch import Temporary, stored
 from volclock.llm.text import table
 
 
@@ -52,7 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. A stage's table goes once the next one is written.
+
+    What each stage makes of nulls, empty and long texts, ties, repeated rows and clashing names
+    is its operator's to say; all of them return no rows for an empty table.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with Temporary(spark) as temporary:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, temporary.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            temporary.drop(before)
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), name)
