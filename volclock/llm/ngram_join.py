@@ -374,7 +374,7 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
 
 def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
 
 
 def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
