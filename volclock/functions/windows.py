@@ -1,10 +1,9 @@
-"""Trailing windows of each symbol in time order, and exponential means."""
+"""Trailing windows of each symbol in time order."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,29 +42,3 @@ def zscore(x: Column, n: int, least: int = 20) -> Column:
 def change(x: Column, n: int = 1) -> Column:
     """x / (x n rows ago) - 1."""
     return safe(x, lag(x, n)) - 1
-
-
-#: (new column, column, alpha, least number of values), or (new column, column, column) for a difference.
-Mean = tuple[str, str, float, int]
-Difference = tuple[str, str, str]
-
-
-def with_means(df: DataFrame, steps: Sequence[Mean | Difference]) -> DataFrame:
-    """Exponential means y = (1 - alpha) y + alpha x from the first value on, all in one pass
-    over each symbol. The recursion is sequential within a symbol; symbols run in parallel."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{s[0]}` double" for s in steps])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        for new, column, *how in steps:
-            if len(how) == 1:
-                pdf[new] = pdf[column] - pdf[how[0]]
-            else:
-                pdf[new] = pdf[column].astype("float64").ewm(alpha=how[0], adjust=False, min_periods=how[1]).mean()
-        return pdf
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
-
-
-def span(n: int) -> float:
-    return 2 / (n + 1)

@@ -1,5 +1,5 @@
 """Features of candles. Each function adds columns by trailing windows of one symbol in time
-order, so that several of them share one shuffle and one sort."""
+order, in blocks of rows with a halo before them; functions that call others share their blocks."""
 
 from __future__ import annotations
 
@@ -9,41 +9,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volclock.config import Features
-from volclock.functions.windows import change, lag, median, rolled, safe, series, span, trailing, with_means, zscore
+from volclock.functions import blocks
+from volclock.functions.blocks import blocked, numbered
+from volclock.functions.means import block_rows, span, with_means
+from volclock.functions.windows import change, lag, median, rolled, safe, series, trailing, zscore
 
 
 def c(name: str) -> Column:
     return F.col(name)
 
 
-def true_range() -> Column:
-    before = lag("close")
-    return F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
-
-
-def exponential(df: DataFrame, suffix: str = "", fast: int = 12, slow: int = 26, signal: int = 9, period: int = 14) -> DataFrame:
-    """rsi, macd_pct, macd_signal_pct, macd_hist_pct, ema_cross_pct and atr_pct."""
-    step = c("close") - lag("close")
-    df = df.withColumns({"_gain": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "_loss": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))), "_tr": true_range()})
-    wilder = 1 / period
-    steps = [
+@numbered
+def exponential(df: DataFrame, suffix: str = "", fast: int = 12, slow: int = 26, signal: int = 9, period: int = 14, rows: int | None = None) -> DataFrame:
+    """rsi, macd_pct, macd_signal_pct, macd_hist_pct, ema_cross_pct and atr_pct.
+
+    The signal is the mean of a difference of means. A mean of a mean is a sum of two plain means
+    of the same prices, so that one scan gives all.
+    """
+    keep = [x for x in df.columns if not x.startswith("_") or x == "_pos"]
+    wilder, of_fast, of_slow, of_signal = 1 / period, span(fast), span(slow), span(signal)
+    cut = blocks.with_halo(df, 1, block_rows([wilder, of_fast, of_slow, of_signal], rows))
+    inside = Window.partitionBy("symbol", "_block").orderBy("_pos")
+    step, before = c("close") - F.lag("close").over(inside), F.lag("close").over(inside)
+    true_range = F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
+    cut = cut.withColumns({"_gain": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "_loss": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))), "_tr": true_range})
+    means = [
         ("_avg_gain", "_gain", wilder, period), ("_avg_loss", "_loss", wilder, period), ("_atr", "_tr", wilder, period),
-        ("_fast", "close", span(fast), 1), ("_slow", "close", span(slow), 1), ("_line", "_fast", "_slow"), ("_signal", "_line", span(signal), 1),
+        ("_fast", "close", of_fast, 1), ("_slow", "close", of_slow, 1), ("_smooth", "close", of_signal, 1),
     ]
-    keep = [x for x in df.columns if not x.startswith("_")]
-    df = with_means(df, steps)
+    df = with_means(cut, means)
+
+    def smoothed(name: str, alpha: float) -> Column:
+        q, r = 1 - alpha, 1 - of_signal
+        if abs(q - r) < 1e-9:
+            raise ValueError("the signal's span must differ from both others")
+        return (of_signal * q * c(name) - alpha * r * c("_smooth")) / (q - r)
+
+    line = c("_fast") - c("_slow")
+    df = df.withColumns({"_line": line, "_signal": F.when(c("_pos") == 0, line).otherwise(smoothed("_fast", of_fast) - smoothed("_slow", of_slow))})
     pct = F.lit(10_000) / F.nullif(c("close"), F.lit(0.0))
     out = {
-        "rsi": 100 - 100 / (1 + safe(F.nanvl("_avg_gain", F.lit(None)), F.nanvl("_avg_loss", F.lit(None)))),
+        "rsi": 100 - 100 / (1 + safe(c("_avg_gain"), c("_avg_loss"))),
         "macd_pct": c("_line") * pct,
         "macd_signal_pct": c("_signal") * pct,
         "macd_hist_pct": (c("_line") - c("_signal")) * pct,
         "ema_cross_pct": c("_line") * pct,
-        "atr_pct": safe(F.nanvl("_atr", F.lit(None)), c("close")),
+        "atr_pct": safe(c("_atr"), c("close")),
     }
     return df.select(*keep, *[v.alias(k + suffix) for k, v in out.items()])
 
 
+@blocked(lambda n, **_: n)
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, suffix: str = "") -> DataFrame:
     """bb_position, 0.5 where the bands have no width or aren't known yet, and bb_width_pct."""
     mean, dev = rolled(F.avg, c("close"), n), rolled(F.stddev_samp, c("close"), n)
@@ -52,6 +68,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, suffix: str = "") -> D
     return df.withColumns({f"bb_position{suffix}": position, f"bb_width_pct{suffix}": safe(width, c("close"))})
 
 
+@blocked(lambda horizons, **_: max(horizons))
 def returns(df: DataFrame, horizons: tuple[int, ...], suffix: str = "") -> DataFrame:
     return df.withColumns({f"returns_{h}{suffix}": change(c("close"), h) for h in horizons})
 
@@ -61,14 +78,16 @@ def log_return() -> Column:
     return F.when(ratio > 0, F.ln(F.greatest(ratio, F.lit(1e-300))))
 
 
+@blocked(lambda n, **_: n)
 def volatility(df: DataFrame, n: int = 96, least: int | None = None, name: str = "realized_vol_96") -> DataFrame:
     df = df.withColumn("_lr", log_return())
     return df.withColumn(name, rolled(F.stddev_samp, c("_lr"), n, least) * math.sqrt(n)).drop("_lr")
 
 
+@numbered
 def indicators(df: DataFrame, cfg: Features = Features()) -> DataFrame:
-    df = returns(bollinger(exponential(df)), cfg.horizons).withColumn("log_return_1", log_return())
-    return volatility(df)
+    trailing_ones = lambda df: volatility(returns(bollinger(df), cfg.horizons).withColumn("log_return_1", log_return()))
+    return blocks.in_blocks(exponential(df), trailing_ones, max(96, 20, *cfg.horizons))
 
 
 def candle_shape(df: DataFrame) -> DataFrame:
@@ -92,6 +111,7 @@ def cyclic_time(df: DataFrame) -> DataFrame:
     return df.withColumns({"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "dow_sin": F.sin(day), "dow_cos": F.cos(day)})
 
 
+@blocked(lambda n, **_: n)
 def flow(df: DataFrame, n: int = 288, least: int = 20) -> DataFrame:
     """volume_ratio, kyle_lambda, amihud and their rolling medians."""
     volume = c("tick_volume").cast("double")
@@ -100,6 +120,7 @@ def flow(df: DataFrame, n: int = 288, least: int = 20) -> DataFrame:
     return df.withColumns({f"{x}_smooth": rolled(median, c(x), n, least) for x in ("kyle_lambda", "amihud")}).drop("_r", "_v")
 
 
+@blocked(lambda n, **_: n)
 def vpin(df: DataFrame, n: int = 48, least: int = 20) -> DataFrame:
     volume = c("tick_volume").cast("double")
     bought = F.coalesce(safe(c("close") - c("low"), c("high") - c("low")), F.lit(0.5))
@@ -107,11 +128,13 @@ def vpin(df: DataFrame, n: int = 48, least: int = 20) -> DataFrame:
     return df.withColumn("vpin", safe(rolled(F.avg, c("_i"), n, least), rolled(F.avg, volume, n, least))).drop("_i")
 
 
+@blocked(lambda cfg: max(cfg.micro, cfg.vpin))
 def microstructure(df: DataFrame, cfg: Features = Features()) -> DataFrame:
     df = df.withColumns({"volume_zscore": zscore(c("tick_volume").cast("double"), cfg.micro), "spread_zscore": zscore(c("spread").cast("double"), cfg.micro)})
     return cyclic_time(candle_shape(vpin(flow(df, cfg.micro), cfg.vpin)))
 
 
+@blocked(lambda fast, slow, **_: max(fast, slow))
 def vol_regime(df: DataFrame, fast: int, fast_least: int, slow: int, slow_least: int, name: str = "vol_regime") -> DataFrame:
     df = df.withColumn("_r", change(c("close")))
     return df.withColumn(name, safe(rolled(F.stddev_samp, c("_r"), fast, fast_least), rolled(F.stddev_samp, c("_r"), slow, slow_least))).drop("_r")
@@ -122,15 +145,20 @@ def run_length(direction: Column) -> Column:
     return F.coalesce(F.sign(direction), F.lit(0.0))
 
 
+@numbered
 def consecutive(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_d", run_length(c("close") - lag("close")))
-    df = df.withColumn("_new", F.when(F.lag("_d").over(series()).eqNullSafe(c("_d")), 0).otherwise(1))
-    # position within the run: a running count minus the count where the run began
-    df = df.withColumn("_n", F.row_number().over(series()))
-    df = df.withColumn("_start", F.max(F.when(c("_new") == 1, c("_n"))).over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("consecutive_direction", c("_d") * (c("_n") - c("_start") + 1)).drop("_d", "_new", "_n", "_start")
-
-
+    """consecutive_direction. A run that began before its block is known by where the newest of
+    all runs so far began, which is carried from block to block."""
+    kept = df.columns
+    df = blocks.in_blocks(df, lambda x: x.withColumn("_d", run_length(c("close") - lag("close"))), 1)
+    df = blocks.in_blocks(df, lambda x: x.withColumn("_start", F.when(~F.lag("_d").over(series()).eqNullSafe(c("_d")), c("_pos"))), 1)
+    df = blocks.carried(df.withColumn("_block", F.floor(c("_pos") / blocks.ROWS)), "_block", _newest=(F.max("_start"), F.max))
+    inside = Window.partitionBy("symbol", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    began = F.coalesce(F.max("_start").over(inside), "_newest")
+    return df.withColumn("consecutive_direction", c("_d") * (c("_pos") - began + 1)).select(*kept, "consecutive_direction")
+
+
+@blocked(lambda n: max(n, 8))
 def momentum(df: DataFrame, n: int = 12) -> DataFrame:
     """momentum_quality, return_acceleration and its mean over six rows."""
     df = df.withColumn("_r", change(c("close")))
@@ -139,14 +167,19 @@ def momentum(df: DataFrame, n: int = 12) -> DataFrame:
     return df.withColumn("return_acceleration_smooth", rolled(F.avg, c("return_acceleration"), 6, 3)).drop("_r", "_a")
 
 
+@numbered
 def regime(df: DataFrame, cfg: Features = Features()) -> DataFrame:
-    """Adds the regime columns; atr_pct is computed first where it is missing."""
+    """Adds the regime columns; atr_pct and consecutive_direction only where they are missing."""
     if "atr_pct" not in df.columns:
         keep = df.columns
         df = exponential(df).select(*keep, "atr_pct")
-    df = vol_regime(df, cfg.vol_fast, 10, cfg.vol_slow, 50)
-    df = df.withColumn("vol_of_vol", rolled(F.stddev_samp, c("atr_pct"), cfg.vol_slow, 50))
-    return consecutive(momentum(df, cfg.momentum))
+
+    def trailing_ones(df: DataFrame) -> DataFrame:
+        df = vol_regime(df, cfg.vol_fast, 10, cfg.vol_slow, 50)
+        return momentum(df.withColumn("vol_of_vol", rolled(F.stddev_samp, c("atr_pct"), cfg.vol_slow, 50)), cfg.momentum)
+
+    df = blocks.in_blocks(df, trailing_ones, max(cfg.vol_fast, cfg.vol_slow, cfg.momentum, 8))
+    return df if "consecutive_direction" in df.columns else consecutive(df)
 
 
 def _within(hours: tuple[int, int]) -> Column:
@@ -170,10 +203,11 @@ def sessions(df: DataFrame, cfg: Features = Features(), mean_over: int = 1440, l
     width = lambda open_now: F.when(open_now, F.max(F.when(open_now, c("high"))).over(so_far) - F.min(F.when(open_now, c("low"))).over(so_far))
     df = df.withColumn("_range", safe(F.coalesce(width(york), width(london), width(asian)), c("close")))
     volume = c("tick_volume").cast("double")
-    df = df.withColumns({"session_range_pct": safe(c("_range"), rolled(F.avg, c("_range"), mean_over, least)), "session_volume_pct": safe(volume, rolled(F.avg, volume, mean_over, least))})
-    return df.drop("_day", "_range")
+    shares = {"session_range_pct": safe(c("_range"), rolled(F.avg, c("_range"), mean_over, least)), "session_volume_pct": safe(volume, rolled(F.avg, volume, mean_over, least))}
+    return blocks.in_blocks(df, lambda x: x.withColumns(shares), mean_over).drop("_day", "_range")
 
 
+@blocked(lambda n, **_: n)
 def hurst(df: DataFrame, n: int = 24, least: int = 10, name: str = "hurst_h1") -> DataFrame:
     """Rescaled range of the last n log returns: ln(R / S) / ln n, a missing return as 0."""
     df = df.withColumn("_lr", log_return())
@@ -199,11 +233,16 @@ H1 = (
 )
 
 
+@numbered
 def h1_features(df: DataFrame, cfg: Features = Features()) -> DataFrame:
     """symbol, time and the thirteen features of the slower timeframe."""
     df = exponential(df, "_h1").withColumnRenamed("ema_cross_pct_h1", "ema_cross_h1")
-    df = volatility(returns(bollinger(df, suffix="_h1"), cfg.h1_horizons, "_h1"), 24, 10, "realized_vol_h1")
-    return hurst(vol_regime(df, 4, 2, 48, 10, "vol_regime_h1")).select("symbol", "time", *H1)
+
+    def trailing_ones(df: DataFrame) -> DataFrame:
+        df = volatility(returns(bollinger(df, suffix="_h1"), cfg.h1_horizons, "_h1"), 24, 10, "realized_vol_h1")
+        return hurst(vol_regime(df, 4, 2, 48, 10, "vol_regime_h1"))
+
+    return blocks.in_blocks(df, trailing_ones, max(48, *cfg.h1_horizons)).select("symbol", "time", *H1)
 
 
 def cross_timeframe(df: DataFrame) -> DataFrame:
@@ -223,6 +262,7 @@ BOUNDED = frozenset(
 )
 
 
+@blocked(lambda window, **_: window)
 def normalised(df: DataFrame, features: list[str], window: int = 1440, least: int = 20) -> DataFrame:
     """Features that have no bounds of their own as z-scores; all share one window."""
     return df.withColumns({f: zscore(c(f), window, least) for f in features if f not in BOUNDED})

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volclock.functions import blocks
 from volclock.functions.windows import lag
 
 LONGEST = 10_000
@@ -26,11 +27,12 @@ def weights(d: float, threshold: float = 1e-4) -> list[float]:
 
 
 def frac_diff(df: DataFrame, d: float, column: str = "close", name: str = "frac_diff_close", threshold: float = 1e-4) -> DataFrame:
-    """Weighted sum of the last rows of each symbol; null until there are as many as weights."""
+    """Weighted sum of the last rows of each symbol; null until there are as many as weights. A
+    symbol is cut into blocks, each of which overlaps the one before by the weights' length."""
     w = np.array(weights(d, threshold))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
+        pdf = pdf.sort_values("_pos", kind="stable")
         x = pdf[column].to_numpy(dtype=float)
         out = np.full(len(x), np.nan)
         if len(x) >= len(w):
@@ -38,8 +40,11 @@ def frac_diff(df: DataFrame, d: float, column: str = "close", name: str = "frac_
         pdf[name] = out
         return pdf
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name] + [f"`{name}` double"])
-    return df.groupBy("symbol").applyInPandas(run, schema).withColumn(name, F.nanvl(name, F.lit(None)))
+    rest = [c for c in df.columns if c != name]
+    cut = blocks.with_halo(df.select(*rest), len(w) - 1)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields] + [f"`{name}` double"])
+    done = cut.groupBy("symbol", "_block").applyInPandas(run, schema).filter("not _halo")
+    return done.select(*rest, F.nanvl(name, F.lit(None)).alias(name))
 
 
 def adf_sums(df: DataFrame, column: str) -> DataFrame:

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volclock.config import Labels
+from volclock.functions.blocks import blocked
 from volclock.functions.windows import change, rolled, safe, series
 
 
+@blocked(lambda lookback, **_: lookback)
 def daily_volatility(df: DataFrame, lookback: int = 264, least: int = 20) -> DataFrame:
     df = df.withColumn("_r", change(F.col("close")))
     return df.withColumn("daily_vol", rolled(F.stddev_samp, F.col("_r"), lookback, least) * F.col("close") * math.sqrt(lookback)).drop("_r")
 
 
+@blocked(lambda fast, slow, **_: max(fast, slow))
 def barrier_multiplier(df: DataFrame, fast: int = 48, slow: int = 576, fast_least: int = 10, slow_least: int = 50) -> DataFrame:
     """1 + 0.3 (ratio of fast to slow volatility - 1), within [0.5, 2]; 1 where unknown."""
     df = df.withColumn("_r", change(F.col("close")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volclock.config import Costs, Training
+from volclock.functions import blocks
 
 
 def confident(probabilities: Column, predicted: Column, threshold: float = 0.55) -> Column:
@@ -84,11 +85,36 @@ def exit_prices(side: Column, bid: Column, ask: Column, width: Column, pt: float
     return F.bround(entry + side * pt * width, digits), F.bround(entry - side * sl * width, digits)
 
 
-def simulated(df: DataFrame, cfg: Training = Training()) -> DataFrame:
+def segments(df: DataFrame, cfg: Training = Training(), rows: int | None = None) -> DataFrame:
+    """``df`` with ``_segment``: pieces of a symbol that can be simulated by themselves.
+
+    Where every trade that may have been opened has ended and the pause since the last signal is
+    over, the simulator holds nothing, whatever it took before. The first such row of each block
+    begins a segment, so that segments are about as long as blocks; a block without one goes on
+    with the segment before. Which signals are taken plays no part, so no row waits for another.
+    """
+    kept = "_pos" in df.columns
+    cut = blocks.positioned(df).withColumn("_block", F.floor(F.col("_pos") / (rows or blocks.ROWS)))
+    signal, now = F.col("predicted") != 0, F.unix_micros(F.col("time").cast("timestamp"))
+    end = F.coalesce(F.unix_micros(F.col("t1").cast("timestamp")), now + F.coalesce(F.col("holding_period"), F.lit(0)) * cfg.bar_minutes * 60_000_000)
+    busy = F.when(signal, F.greatest(end, now + cfg.cooldown_minutes * 60_000_000))
+    cut = blocks.carried(cut.withColumn("_busy", busy), "_block", _until=(F.max("_busy"), F.max))
+    inside = Window.partitionBy("symbol", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.greatest("_until", F.max("_busy").over(inside))
+    cut = cut.withColumn("_free", F.when(until.isNull() | (until <= now), F.col("_pos")))
+    whole = Window.partitionBy("symbol", "_block")
+    cut = cut.withColumn("_first", F.min("_free").over(whole))
+    cut = blocks.carried(cut, "_block", _began=(F.min("_free"), F.max))
+    segment = F.coalesce(F.when(F.col("_pos") >= F.col("_first"), F.col("_first")), "_began", F.lit(0))
+    return cut.withColumn("_segment", segment).drop("_block", "_busy", "_until", "_free", "_first", "_began", *([] if kept else ["_pos"]))
+
+
+def simulated(df: DataFrame, cfg: Training = Training(), rows: int | None = None) -> DataFrame:
     """``df`` (symbol, time, predicted, t1, holding_period, ...) with traded.
 
     A signal is taken if fewer than the most allowed trades are open and the last entry lies
-    at least the cooldown back. This is sequential within a symbol.
+    at least the cooldown back. This is sequential within a segment only; a symbol that never
+    rests is one segment.
     """
     most, pause, bar = cfg.max_open_trades, pd.Timedelta(minutes=cfg.cooldown_minutes), pd.Timedelta(minutes=cfg.bar_minutes)
 
@@ -105,8 +131,9 @@ def simulated(df: DataFrame, cfg: Training = Training()) -> DataFrame:
         pdf["traded"] = taken
         return pdf
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["traded boolean"])
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    cut = segments(df, cfg, rows)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields] + ["traded boolean"])
+    return cut.groupBy("symbol", "_segment").applyInPandas(run, schema).drop("_segment")
 
 
 def with_pnl(df: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volclock.config import Features
+from volclock.functions import blocks
 from volclock.operators import asof, bars, features, fracdiff
+from volclock.sources.stored import stored
 
 INDICATORS = [
     "rsi", "macd_pct", "macd_signal_pct", "macd_hist_pct", "bb_position", "bb_width_pct", "atr_pct", "ema_cross_pct",
@@ -38,20 +40,23 @@ def require_bars(df: DataFrame, least: int = LEAST_BARS) -> DataFrame:
 def build_features(fast: DataFrame, slow: DataFrame, cfg: Features = Features(), d: float = 0.4, use_bars: bool = True, session_window: tuple[int, int] = (1440, 288)) -> DataFrame:
     """symbol, time and the 58 features, without rows that miss any.
 
-    Everything is partitioned by symbol and ordered by time, so Spark shuffles for the bars,
-    the as-of join and little else; the three sequential passes (bars, differencing,
-    exponential means) keep that partitioning.
+    Each step works on blocks of rows, not on whole symbols. What several blocks' summaries are
+    taken from is written once in the shared folder instead of being computed for each of them:
+    the bars, the joined rows, and the indicators.
     """
-    df = bars.volume_bars(fast, cfg.volume_bar_size).drop("bar_id") if use_bars else fast
-    df = asof.asof(df, asof.shifted(features.h1_features(slow, cfg), list(features.H1)), list(features.H1))
-    df = features.microstructure(features.indicators(fracdiff.frac_diff(df, d), cfg), cfg)
-    df = features.regime(features.sessions(features.cross_timeframe(df), cfg, *session_window), cfg)
+    df = stored(bars.volume_bars(fast, cfg.volume_bar_size).drop("bar_id"), "bars") if use_bars else fast
+    slower = stored(asof.shifted(features.h1_features(stored(slow, "slow"), cfg), list(features.H1)), "slow-features")
+    df = stored(blocks.positioned(asof.asof(df, slower, list(features.H1))), "joined")
+    df = stored(features.indicators(fracdiff.frac_diff(df, d), cfg), "indicators")
+    df = features.cross_timeframe(features.consecutive(df))
+    df = features.regime(features.sessions(features.microstructure(df, cfg), cfg, *session_window), cfg)
     return features.normalised(df, FEATURES, cfg.rolling_window).select("symbol", "time", *FEATURES).dropna(subset=FEATURES)
 
 
 def build_legacy_features(df: DataFrame, cfg: Features = Features(), d: float = 0.4) -> DataFrame:
     """symbol, time and the 31 features of one timeframe."""
-    df = features.microstructure(features.indicators(fracdiff.frac_diff(df, d), cfg), cfg)
+    df = stored(blocks.positioned(df), "candles")
+    df = features.microstructure(stored(features.indicators(fracdiff.frac_diff(df, d), cfg), "indicators"), cfg)
     return features.normalised(df, LEGACY, cfg.rolling_window).select("symbol", "time", *LEGACY).dropna(subset=LEGACY)
 
 
