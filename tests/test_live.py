@@ -69,6 +69,24 @@ def test_batch_runs_again(spark, tmp_path):
     assert len(broker.orders) == 1 and spark.read.parquet(f"{tmp_path}/positions/1").count() == 1
 
 
+def test_batch_runs_again_with_other_quotes(spark, tmp_path):
+    """The broker holds the order of the first run, and so do the positions after the second."""
+    broker, spread = live.SimulatedBroker(), [1.1001]
+    one = loop.LiveLoop(loop.Versions(spark, str(tmp_path)), model, lambda: quotes(spark, ask=spread[0])(), broker)
+    one(spark.createDataFrame([bar(0, 2.0), bar(1, 2.0)], SCHEMA), 0)
+    one(spark.createDataFrame([bar(2, 2.0)], SCHEMA), 1)
+    spread[0] = 1.2  # too wide for any order
+    one(spark.createDataFrame([bar(2, 2.0)], SCHEMA), 1)
+    assert len(broker.orders) == 1 and spark.read.parquet(f"{tmp_path}/positions/1").count() == 1
+    # a symbol without new candles expires by the candles of others
+    one(spark.createDataFrame([bar(100, 1.0, symbol="USDJPY")], SCHEMA), 2)
+    assert all(o["closed"] for o in broker.orders.values()) and spark.read.parquet(f"{tmp_path}/positions/0").count() == 0
+    again = loop.LiveLoop(loop.Versions(spark, str(tmp_path)), model, quotes(spark), live.SimulatedBroker(), now=lambda: BEGIN)
+    again(spark.createDataFrame([bar(0, 2.0)], SCHEMA), 0)  # another life in the same folder
+    again(spark.createDataFrame([bar(1, 2.0)], SCHEMA), 1)
+    assert again.broker.orders == {}
+
+
 def test_gates(spark):
     cfg = Training(max_open_trades=2)
     now, ago = BEGIN + timedelta(hours=2), BEGIN + timedelta(hours=1)
@@ -87,7 +105,7 @@ def test_gates(spark):
     p = spark.createDataFrame([([0.55, 0.2, 0.25],), ([0.56, 0.2, 0.24],), ([0.1, 0.3, 0.6],), ([0.1, 0.8, 0.1],), (None,)], "p array<double>")
     assert [r[0] for r in p.select(trading.live_signal(F.col("p"))).collect()] == [0, -1, 1, 0, 0]
     old = spark.createDataFrame([("EURUSD", "a", 1, now - timedelta(minutes=120)), ("EURUSD", "b", 1, now - timedelta(minutes=121))], loop.POSITIONS)
-    assert {r["order_id"]: r["expired"] for r in loop.expired(old, clock).collect()} == {"a": False, "b": True}
+    assert {r["order_id"]: r["expired"] for r in loop.expired(old, now).collect()} == {"a": False, "b": True}
 
 
 def test_keep_running():
@@ -99,6 +117,11 @@ def test_keep_running():
             if self.fails:
                 raise RuntimeError("lost")
 
+    class Working(Query):
+        lastProgress = {"batchId": 1}
+
+    often = [Working(True) for _ in range(5)] + [Query(False)]
+    assert loop.keep_running(lambda: often.pop(0), 2) == 5  # each had ended a batch
     left = [True, True, False]
     assert loop.keep_running(lambda: Query(left.pop(0))) == 2
     with pytest.raises(RuntimeError):

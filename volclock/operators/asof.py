@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from volclock.functions import blocks
 from volclock.functions.windows import lag
+from volclock.sources.stored import stored
 
 
 @blocks.blocked(lambda **_: 1)
@@ -16,7 +17,8 @@ def _one_later(slow: DataFrame, features: list[str]) -> DataFrame:
 
 def shifted(slow: DataFrame, features: list[str]) -> DataFrame:
     """Features one row later, so that only closed candles are seen; empty rows go."""
-    return _one_later(slow.select("symbol", "time", *features), features).dropna(how="all", subset=features)
+    numbers = [c for c in ("_pos",) if c in slow.columns]
+    return _one_later(slow.select("symbol", "time", *numbers, *features), features).dropna(how="all", subset=features).drop("_pos")
 
 
 def asof(fast: DataFrame, slow: DataFrame, features: list[str], seconds: int | None = None) -> DataFrame:
@@ -25,9 +27,11 @@ def asof(fast: DataFrame, slow: DataFrame, features: list[str], seconds: int | N
     Both sides are dealt to ranges of time of each symbol. Inside of a range they are merged by one
     sort, and the newest row of ``slow`` is carried along as one struct, so that its nulls aren't
     filled from older rows; the last such row before a range comes from the ranges before it, of
-    which one row each is looked at. No symbol is sorted as a whole.
+    which one row each is looked at. No symbol is sorted as a whole. ``slow`` is written once in the
+    shared folder, as both are taken from it.
     """
     names = fast.columns
+    slow = stored(slow.select("symbol", "time", *features), "slower")
     left = fast.select("symbol", "time", F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).alias("_slow"))
     right = slow.select("symbol", "time", F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*features).alias("_slow"))
     newest = slow.select("symbol", "time", F.struct(*features).alias("_slow")).withColumn("_bucket", blocks.bucket_of(seconds))

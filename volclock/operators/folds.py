@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volclock.config import Training
+from volclock.sources.stored import stored
 
 
 def fold_table(rows: DataFrame, cfg: Training = Training()) -> DataFrame:
@@ -25,6 +26,7 @@ def purged_folds(rows: DataFrame, cfg: Training = Training()) -> DataFrame:
     Training rows lie before the embargo and end (t1) before the test starts. The fold table
     has a row for each symbol and fold.
     """
+    rows = stored(rows, "fold-rows")  # read four times
     numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1)
     table = fold_table(rows, cfg)
     joined = numbered.join(table, "symbol")

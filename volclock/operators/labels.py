@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volclock.config import Labels
+from volclock.functions import blocks
 from volclock.functions.blocks import blocked
 from volclock.functions.windows import change, rolled, safe, series
 
@@ -32,8 +33,12 @@ def triple_barrier(df: DataFrame, cfg: Labels = Labels(), pip: float = 0.0001) -
     """``df`` (symbol, time, close) with label, t1, ret, ret_pips, barrier_type and
     holding_period: null where the future is too short or the volatility unknown."""
     keep = df.columns
-    df = daily_volatility(df, cfg.vol_lookback)
-    df = barrier_multiplier(df, cfg.vol_fast, cfg.vol_slow) if cfg.dynamic else df.withColumn("barrier_mult", F.lit(1.0))
+
+    def widths(df: DataFrame) -> DataFrame:
+        df = daily_volatility(df, cfg.vol_lookback)
+        return barrier_multiplier(df, cfg.vol_fast, cfg.vol_slow) if cfg.dynamic else df.withColumn("barrier_mult", F.lit(1.0))
+
+    df = blocks.in_blocks(df, widths, max(cfg.vol_lookback, cfg.vol_fast, cfg.vol_slow))
     ahead = series().rowsBetween(1, cfg.max_hold)
     df = df.withColumn("_ahead", F.collect_list(F.struct("time", "close")).over(ahead))
     width = F.col("barrier_mult") * F.col("daily_vol")

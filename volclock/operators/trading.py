@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from volclock.config import Costs, Training
 from volclock.functions import blocks
+from volclock.sources.stored import stored
 
 
 def confident(probabilities: Column, predicted: Column, threshold: float = 0.55) -> Column:
@@ -92,9 +93,10 @@ def segments(df: DataFrame, cfg: Training = Training(), rows: int | None = None)
     over, the simulator holds nothing, whatever it took before. The first such row of each block
     begins a segment, so that segments are about as long as blocks; a block without one goes on
     with the segment before. Which signals are taken plays no part, so no row waits for another.
+    Rows are written once in the shared folder, as summaries of blocks are taken from them twice.
     """
     kept = "_pos" in df.columns
-    cut = blocks.positioned(df).withColumn("_block", F.floor(F.col("_pos") / (rows or blocks.ROWS)))
+    cut = stored(blocks.positioned(df), "simulated").withColumn("_block", F.floor(F.col("_pos") / (rows or blocks.ROWS)))
     signal, now = F.col("predicted") != 0, F.unix_micros(F.col("time").cast("timestamp"))
     end = F.coalesce(F.unix_micros(F.col("t1").cast("timestamp")), now + F.coalesce(F.col("holding_period"), F.lit(0)) * cfg.bar_minutes * 60_000_000)
     busy = F.when(signal, F.greatest(end, now + cfg.cooldown_minutes * 60_000_000))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volclock.config import Cleaning, Costs, Features, Labels, Training
+from volclock.functions import blocks
 from volclock.functions.windows import zscore
 from volclock.operators import asof, bars, features, folds, fracdiff, labels, trading, weights
 from volclock.sources import candles
@@ -132,8 +133,8 @@ def realized_vol(spark, sf_dir):
 
 @query
 def rolling_zscore(spark, sf_dir):
-    df = h1(spark, sf_dir)
-    return only(df.withColumns({"volume_zscore": zscore(F.col("tick_volume").cast("double"), 48), "spread_zscore": zscore(F.col("spread").cast("double"), 48)}), "volume_zscore", "spread_zscore")
+    scores = {"volume_zscore": zscore(F.col("tick_volume").cast("double"), 48), "spread_zscore": zscore(F.col("spread").cast("double"), 48)}
+    return only(blocks.in_blocks(h1(spark, sf_dir), lambda df: df.withColumns(scores), 48), *scores)
 
 
 @query
@@ -209,7 +210,8 @@ def min_d(spark, sf_dir):
 @query
 def h1_asof(spark, sf_dir):
     m5 = candles.event_candles(events(spark, sf_dir), 5)
-    slow = features.returns(features.bollinger(h1(spark, sf_dir), suffix="_h1"), (1,), "_h1").select("symbol", "time", "bb_position_h1", "returns_1_h1")
+    bands = lambda df: features.returns(features.bollinger(df, suffix="_h1"), (1,), "_h1")
+    slow = blocks.in_blocks(blocks.positioned(h1(spark, sf_dir)), bands, 20).select("symbol", "time", "_pos", "bb_position_h1", "returns_1_h1")
     names = ["bb_position_h1", "returns_1_h1"]
     return only(asof.asof(m5.select("symbol", "time", "close"), asof.shifted(slow, names), names), "close", *names)
 
@@ -225,7 +227,8 @@ def cross_tf(spark, sf_dir):
 @query
 def normalise(spark, sf_dir):
     names = ["returns_1", "returns_3", "bb_width_pct", "bb_position"]
-    df = features.normalised(features.returns(features.bollinger(h1(spark, sf_dir)), (1, 3)), names, 100)
+    bands = lambda df: features.normalised(features.returns(features.bollinger(df), (1, 3)), names, 100)
+    df = blocks.in_blocks(h1(spark, sf_dir), bands, 120)
     return only(df, *names).dropna()
 
 

@@ -4,8 +4,9 @@ A batch is upserted into the candles held, the newest candle of each symbol is l
 still open, features and model score the rest, and the last closed bar of each symbol passes the
 gates: strictly more confidence than the threshold, a bar not seen before, few enough open
 positions, the pause since the last entry, a narrow spread. Positions past the holding limit are
-closed first. The clock is the start of the newest candle of each symbol, so that a batch that
-runs again gives the same orders.
+closed first. The clock of an order is the start of its symbol's newest candle. Orders are written
+before they are sent and read again if their batch runs again, so that it gives the same ones
+whatever quotes have become.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,17 @@ class Versions:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{(epoch - 1) % 2}")
 
+    def once(self, name: str, epoch: int, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gave when this epoch first came here, also if it runs again. Epoch 0
+        begins anew, whatever an earlier life of the folder left."""
+        context = self.spark.sparkContext
+        path = lambda e: context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" + ("" if e is None else f"/{e}"))
+        fs = path(None).getFileSystem(context._jsc.hadoopConfiguration())
+        fs.delete(path(None if epoch == 0 else epoch - 2), True)
+        if not fs.exists(path(f"{epoch}/_SUCCESS")):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{name}/{epoch}")
+        return self.spark.read.parquet(f"{self.folder}/{name}/{epoch}")
+
     def write(self, name: str, epoch: int, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/{epoch % 2}"
         df.write.mode("overwrite").parquet(path)
@@ -54,12 +67,10 @@ def upserted(held: DataFrame, batch: DataFrame, keep: int) -> DataFrame:
     return live.newest(live.latest_versions(version, "_version").drop("_new", "_version"), keep)
 
 
-def expired(positions: DataFrame, clock: DataFrame, cfg: Training = Training()) -> DataFrame:
+def expired(positions: DataFrame, now: datetime, cfg: Training = Training()) -> DataFrame:
     """``positions`` with whether they have been open for longer than the holding limit."""
-    limit = cfg.max_hold * cfg.bar_minutes * 60
-    age = F.unix_timestamp("_now") - F.unix_timestamp("opened")
-    joined = positions.join(clock.select("symbol", F.col("now").alias("_now")), "symbol", "left")
-    return joined.withColumn("expired", F.coalesce(age > limit, F.lit(False))).drop("_now")
+    age = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("opened")
+    return positions.withColumn("expired", F.coalesce(age > cfg.max_hold * cfg.bar_minutes * 60, F.lit(False)))
 
 
 def accepted(signals: DataFrame, state: DataFrame, positions: DataFrame, quotes: DataFrame, clock: DataFrame, cfg: Training = Training(), spread: float = 1.5) -> DataFrame:
@@ -92,6 +103,9 @@ class LiveLoop:
     broker: live.SimulatedBroker
     cfg: Training = Training()
     keep: int = 25_000
+    #: The time that positions expire by; by default that of the newest candle of all symbols, so
+    #: that positions of a symbol without new candles expire as well.
+    now: Callable[[], datetime] | None = None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         if not self.broker.connected:
@@ -101,7 +115,8 @@ class LiveLoop:
         candles = t.write("candles", epoch, upserted(t.before("candles", epoch, schema), batch, self.keep))
         clock = candles.groupBy("symbol").agg(F.max("time").alias("now"))
 
-        held = expired(t.before("positions", epoch, POSITIONS), clock, self.cfg)
+        now = self.now() if self.now else candles.agg(F.max("time")).first()[0]
+        held = expired(t.before("positions", epoch, POSITIONS), now, self.cfg)
         for r in held.filter("expired").select("order_id").toLocalIterator():
             self.broker.close(r["order_id"])
         positions = held.filter("not expired").drop("expired")
@@ -110,7 +125,8 @@ class LiveLoop:
         last = live.newest(self.model(live.closed(candles)), 1)
         signals = t.write("signals", epoch, last.select("symbol", "time", trading.live_signal(p, self.cfg.confidence).alias("side"), F.array_max(p).alias("confidence"), "width"))
         state = t.before("state", epoch, STATE)
-        orders = t.write("orders", epoch, accepted(signals, state, positions, self.quotes(), clock, self.cfg))
+        # sent orders are what positions are made of: quotes may have changed when a batch runs again
+        orders = t.once("orders", epoch, lambda: accepted(signals, state, positions, self.quotes(), clock, self.cfg))
         done = [r["order_id"] for r in orders.toLocalIterator() if self.broker.send(**r.asDict())]  # at most one for each symbol
 
         filled = orders.filter(F.col("order_id").isin(done)) if done else orders.limit(0)
@@ -126,11 +142,16 @@ class LiveLoop:
 
 
 def keep_running(start: Callable[[], StreamingQuery], attempts: int = 10) -> int:
-    """Starts the stream again after a failure, from its checkpoint; returns the failures."""
-    for failures in range(attempts):
+    """Starts the stream again after a failure, from its checkpoint; returns the failures. It gives
+    up after so many in a row, none of which ended a batch; a life has any number of others."""
+    failures = in_a_row = 0
+    while in_a_row < attempts:
+        query = start()
         try:
-            start().awaitTermination()
+            query.awaitTermination()
             return failures
         except Exception:  # whatever a batch raised; it runs again
+            failures += 1
+            in_a_row = 1 if getattr(query, "lastProgress", None) else in_a_row + 1
             log.exception("the live stream failed and starts again")
-    raise RuntimeError(f"the live stream failed {attempts} times")
+    raise RuntimeError(f"the live stream failed {attempts} times in a row")
