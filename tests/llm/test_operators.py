@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import same
 from tests.conftest import SMALL
 from tests.llm import awkward, brute
-from volclock.llm import ann, language_id, license_scan, mixing, quality_model, quality_rules, quotes
+from volclock.llm import ann, language_id, license_scan, mixing, quality_model, quality_rules, queries, quotes
+from volclock.llm.oracles import ORACLE_SQL
 
 
 def test_mixing_awkward(spark):
@@ -18,6 +20,30 @@ def test_mixing_awkward(spark):
     assert mixing.mix_sizes(awkward.empty(spark)).collect() == [] and mixing.mix(awkward.empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("copies", [1, 300])
+def test_mixing_repeated_rows(spark, tmp_path, copies):
+    """Copies of one row, more than one row stands for, against SQL's row by row queue."""
+    hot = [(1, "ten words " * 50, "a")] * copies + [(1, "ten words " * 50, "b"), (2, "x", "a"), (2, None, None)]
+    docs = spark.createDataFrame(hot + [(i, f"w{i} " * (i % 90 + 100), "bc"[i % 2]) for i in range(10, 400)], "doc_id long, text string, source string")
+    for name, table in {"hot": docs, "awkward": awkward.documents(spark)}.items():
+        (tmp_path / name).mkdir()
+        table.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / name / "documents.parquet")
+        same(queries.op1_mixing(spark, f"{tmp_path}/{name}"), ORACLE_SQL["op1_mixing"], f"{tmp_path}/{name}")
+    taken = {r["source"]: r for r in mixing.mix_sizes(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(r["taken"] - r["target"]) <= 200 for r in taken.values())
+    mixed = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert mixed == {s: r["taken"] for s, r in taken.items() if r["taken"]}
+
+
+def test_mixing_spreads_copies(spark, monkeypatch):
+    """However many copies a row stands for, the queue is the same."""
+    sizes = spark.createDataFrame([("a", 7, 5)] * 100 + [("b", 9, 6)] * 3 + [(None, 400, 8)], "source string, size long, key long")
+    wanted = sorted(map(str, mixing.fair_queue(sizes).collect()))
+    for copies in (1, 3):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        assert sorted(map(str, mixing.fair_queue(sizes).collect())) == wanted
+
+
 def test_quality_awkward(spark):
     docs = awkward.documents(spark)
     got = [tuple(r)[2:] for r in quality_rules.quality_report(docs).select("doc_id", "lang", *quality_rules.BASE).collect()]

@@ -11,6 +11,7 @@ WITH sized AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
          CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS key
   FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, key, size) AS number FROM sized),
 by_source AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT source, source_size, CAST({mixing.MAX_EPOCHS} * source_size AS DOUBLE) AS lim,
@@ -23,22 +24,22 @@ levels AS (
 targets AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size, least(lim, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
 sent AS (
-  SELECT s.source, s.size, s.key, s.key % {mixing.BUCKETS} AS bucket, t.source_size, t.target,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key % {mixing.BUCKETS}, s.key) AS sent
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0 AND t.target > 0),
+  SELECT s.source, s.size, s.key, s.number, s.key % {mixing.BUCKETS} AS bucket, t.source_size, t.target,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key % {mixing.BUCKETS}, s.key, s.size, s.number) AS sent
+  FROM numbered s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0 AND t.target > 0),
 packets AS (
   SELECT *, ((epoch - 1) * source_size + sent) / target AS finish
   FROM (SELECT *, unnest(range(1, 1 + CAST(least({mixing.MAX_EPOCHS}, ceil(target / source_size)) AS BIGINT))) AS epoch FROM sent)),
 queued AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, bucket, key, epoch ROWS UNBOUNDED PRECEDING) AS running FROM packets),
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, bucket, key, size, number, epoch ROWS UNBOUNDED PRECEDING) AS running FROM packets),
 last AS (
-  SELECT source, max((epoch, bucket, key)) AS l FROM queued
+  SELECT source, max((epoch, bucket, key, size, number)) AS l FROM queued
   WHERE running <= (SELECT round(sum(target)) FROM targets) GROUP BY source),
 decided AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          CASE WHEN s.size = 0 OR l.l IS NULL THEN 0
-              ELSE l.l[1] - 1 + CASE WHEN (s.key % {mixing.BUCKETS}, s.key) <= (l.l[2], l.l[3]) THEN 1 ELSE 0 END END AS epochs
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+              ELSE l.l[1] - 1 + CASE WHEN (s.key % {mixing.BUCKETS}, s.key, s.size, s.number) <= (l.l[2], l.l[3], l.l[4], l.l[5]) THEN 1 ELSE 0 END END AS epochs
+  FROM numbered s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
   LEFT JOIN last l ON s.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size AS BIGINT) AS taken, CAST(epochs AS BIGINT) AS epochs FROM decided
 """
