@@ -69,6 +69,14 @@ CHAINS = {
 }
 
 
+def test_orders_in_blocks(candles, monkeypatch):
+    def run():
+        tests = fracdiff.adf_tests(candles, [0.0, 0.4, 1.0], threshold=1e-2)
+        return tests.withColumnRenamed("d", "time").orderBy("symbol", "time")
+
+    compared(run, monkeypatch)
+
+
 @pytest.mark.parametrize("name", CHAINS)
 def test_any_size(candles, monkeypatch, name):
     compared(lambda: CHAINS[name](candles), monkeypatch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -50,6 +51,37 @@ def test_whole_orders(walk):
     assert all(b["frac_diff_close"] == pytest.approx(b["close"] - a["close"], abs=1e-12) for a, b in zip(rows, rows[1:]))
 
 
+def test_p_values(spark):
+    """Against the error function; the fixed points are MacKinnon's critical values of 1, 5 and 10 %."""
+    ts = [-30.0, -18.8, -7.3, -3.43, -2.86, -2.57, -1.61, -1.6, 0.0, 1.3, 2.74, 2.75, None]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in ts], "t double").select(fracdiff.p_value(F.col("t")).alias("p")).collect()]
+    assert got[-1] is None and got[0] == 0.0 and got[-2] == 1.0
+    for t, p in list(zip(ts, got))[1:-2]:
+        z = 2.1659 + 1.4412 * t + 0.038269 * t**2 if t <= -1.61 else 1.7339 + 0.93202 * t - 0.12745 * t**2 - 0.010368 * t**3
+        assert p == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=1e-13)
+    assert [round(p, 2) for p in got[3:6]] == [0.01, 0.05, 0.1]
+
+
+def test_all_orders_at_once(spark, walk):
+    """Each order against its own differencing and regression; rows without a value don't count."""
+    holes = [("EURUSD", BEGIN + timedelta(seconds=7), None), ("EURUSD", BEGIN + timedelta(seconds=9), float("nan")), ("NONE", BEGIN, None)]
+    df = walk.select("symbol", "time", "close").unionByName(spark.createDataFrame(holes, "symbol string, time timestamp, close double"))
+    orders, least = [0.0, 0.3, 0.6, 1.0], 30
+    got = {r["d"]: r for r in fracdiff.adf_summary(df, orders, threshold=1e-2, least=least).collect()}
+    assert list(sorted(got)) == orders and {r["symbol"] for r in got.values()} == {"EURUSD"}
+    for d in orders:
+        one = fracdiff.frac_diff(walk.select("symbol", "time", "close"), d, "close", "z", 1e-2) if d else walk.withColumn("z", F.col("close"))
+        wanted = fracdiff.with_adf(fracdiff.adf_sums(one, "z")).filter("symbol = 'EURUSD'").first()
+        assert got[d]["n"] == wanted["n"] and got[d]["adf_stat"] == pytest.approx(wanted["adf_stat"], rel=1e-6)
+        assert got[d]["corr"] == pytest.approx(one.filter("symbol = 'EURUSD' and z is not null").agg(F.corr("close", "z")).first()[0], rel=1e-9)
+    found = fracdiff.find_min_d(df, step=0.5, threshold=1e-2, least=least)
+    assert {r["symbol"]: r["d"] is None for r in found.collect()} == {"EURUSD": False, "ONE": True}
+    with pytest.raises(ValueError, match="ONE"):
+        fracdiff.require_min_d(found)
+    plan = fracdiff.adf_summary(df, orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_weights_sum_to_their_number(walk):
     spans = labels.triple_barrier(walk.select("symbol", "time", "close"), Labels(vol_lookback=48, vol_fast=12, vol_slow=96), 0.0001).dropna(subset=["label"])
     one = weights.sample_weights(spans.select("symbol", "time", "t1")).agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.min("weight").alias("least")).first()

@@ -133,6 +133,27 @@ _FD = weights(0.5)
 _ADF = f"""y AS (SELECT symbol, time, close - {lag('close')} AS d, {lag('close')} AS l FROM c), y2 AS (SELECT *, lag(d) OVER ({W}) AS b FROM y),
 k AS (SELECT symbol, count(*) AS n, covar_pop(d, d) * count(*) AS yy, covar_pop(l, l) * count(*) AS ll, covar_pop(b, b) * count(*) AS bb, covar_pop(l, d) * count(*) AS ly, covar_pop(b, d) * count(*) AS byy, covar_pop(l, b) * count(*) AS lb FROM y2 WHERE b IS NOT NULL GROUP BY symbol),
 k2 AS (SELECT *, ll * bb - lb * lb AS det, (bb * ly - lb * byy) / (ll * bb - lb * lb) AS a1, (ll * byy - lb * ly) / (ll * bb - lb * lb) AS a2 FROM k)"""
+
+
+def _tests(orders: list[float]) -> str:
+    """Every order by a join of rows with weights, then the regression and the p-value of its t."""
+    of = {d: weights(d) if d else [1.0] for d in orders}
+    k = " UNION ALL ".join(f"SELECT {float(d)!r}::DOUBLE AS d, {len(w)} AS size, unnest(range({len(w)})) AS i, unnest({w!r}::DOUBLE[]) AS w" for d, w in of.items())
+    by = "PARTITION BY symbol, d ORDER BY time"
+    surface = "CASE WHEN adf_stat <= -1.61 THEN 2.1659 + 1.4412 * adf_stat + 0.038269 * adf_stat ** 2 ELSE 1.7339 + 0.93202 * adf_stat - 0.12745 * adf_stat ** 2 - 0.010368 * adf_stat ** 3 END"
+    terms = "list_reduce(list_concat([1.0::DOUBLE], range(120, 0, -1)::DOUBLE[]), lambda acc, k: 1 + acc * u * u / (2 * k + 1))"
+    return f"""{C}, n AS (SELECT *, row_number() OVER ({W}) AS rn FROM c), w AS ({k}),
+zs AS (SELECT a.symbol, a.time, w.d, a.close AS raw, sum(b.close * w) AS z FROM n a JOIN w ON a.rn >= size JOIN n b ON b.symbol = a.symbol AND b.rn = a.rn - i GROUP BY a.symbol, a.time, w.d, a.close),
+y AS (SELECT *, lag(z) OVER ({by}) AS l, z - lag(z) OVER ({by}) AS y FROM zs), y2 AS (SELECT *, lag(y) OVER ({by}) AS b FROM y),
+corrs AS (SELECT symbol, d, count(*) AS n_values, corr(raw, z) AS corr FROM zs GROUP BY ALL),
+k AS (SELECT symbol, d, count(*) AS n, covar_pop(y, y) * count(*) AS yy, covar_pop(l, l) * count(*) AS ll, covar_pop(b, b) * count(*) AS bb, covar_pop(l, y) * count(*) AS ly, covar_pop(b, y) * count(*) AS byy, covar_pop(l, b) * count(*) AS lb FROM y2 WHERE b IS NOT NULL GROUP BY ALL),
+k2 AS (SELECT *, ll * bb - lb * lb AS det, (bb * ly - lb * byy) / (ll * bb - lb * lb) AS a1, (ll * byy - lb * ly) / (ll * bb - lb * lb) AS a2 FROM k),
+k3 AS (SELECT *, a1 / sqrt((yy - a1 * ly - a2 * byy) / (n - 3.0) * bb / det) AS adf_stat FROM k2),
+k4 AS (SELECT *, greatest({surface}, -8.0::DOUBLE) AS u FROM k3),
+tests AS (SELECT symbol, d, n_values, n, adf_stat, corr, CASE WHEN adf_stat > 2.74 THEN 1.0 WHEN adf_stat < -18.83 THEN 0.0 ELSE greatest(0.5 + exp(-u * u / 2) / sqrt(2 * pi()) * u * {terms}, 0) END AS p_value
+  FROM k4 JOIN corrs USING (symbol, d))"""
+
+
 _ISLANDS = f"""d AS (SELECT symbol, time, coalesce(sign(close - {lag('close')}), 0) AS d, row_number() OVER ({W}) AS rn FROM c),
 g AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, d ORDER BY time) AS g FROM d)"""
 _HURST = f"""q AS (SELECT symbol, time, lr, row_number() OVER ({W}) AS rn FROM r),
@@ -192,6 +213,8 @@ SELECT first_time, last_time, CAST(date_diff('day', first_time, last_time) AS IN
     "frac_diff": f"""WITH {C}, n AS (SELECT *, row_number() OVER ({W}) AS rn FROM c), k AS (SELECT unnest(range({len(_FD)})) AS i, unnest({_FD!r}::DOUBLE[]) AS w)
 SELECT a.symbol, a.time, CASE WHEN a.rn >= {len(_FD)} THEN round(sum(b.close * w), 6) END AS frac_diff_close FROM n a JOIN k ON true LEFT JOIN n b ON b.symbol = a.symbol AND b.rn = a.rn - i GROUP BY a.symbol, a.time, a.rn""",
     "adf_stat": f"WITH {C}, {_ADF} SELECT symbol, n, {r6(adf_stat='a1 / sqrt((yy - a1 * ly - a2 * byy) / (n - 3.0) * bb / det)')} FROM k2",
+    "adf_summary": f"WITH {_tests([0.0, 0.5, 1.0])} SELECT symbol, n, {r6(d='d', adf_stat='adf_stat', p_value='p_value', corr='corr')} FROM tests WHERE n_values >= 100",
+    "min_d": f"WITH {_tests([0.0, 0.25, 0.5, 0.75, 1.0])} SELECT symbol, min(d) FILTER (n_values >= 100 AND p_value < 0.05) AS d FROM tests GROUP BY symbol",
     "h1_asof": f"""WITH {C}, {candle(5, 'm')}, b AS (SELECT *, {over('avg', 'close', 20)} AS mm, {over('stddev_samp', 'close', 20)} AS s, {chg()} AS r1 FROM c),
 f AS (SELECT symbol, time, CASE WHEN s > 0 THEN (close - (mm - 2 * s)) / nullif(4 * s, 0) ELSE 0.5 END AS bb, r1 FROM b),
 g AS (SELECT symbol, time, lag(bb) OVER ({W}) AS bb, lag(r1) OVER ({W}) AS r1 FROM f), g2 AS (SELECT * FROM g WHERE bb IS NOT NULL OR r1 IS NOT NULL)
