@@ -4,8 +4,8 @@ Rows are numbered without sorting a symbol as a whole: they are counted in bucke
 counts are added up over buckets, and rows are numbered inside of each bucket. A block is so many
 consecutive numbers. What a row needs of the rows before its block comes in one of two ways:
 
-- trailing windows: a block holds copies of the last rows before it, its halo, which are dropped
-  in the end (``in_blocks``);
+- windows: a block holds copies of the last rows before it, and of the first ones after it where a
+  window looks ahead. This halo is dropped in the end (``in_blocks``);
 - running values: one summary of each block is scanned in the order of blocks, and what stands
   before a block is joined to its rows (``carried``).
 """
@@ -68,23 +68,26 @@ def numbered(f):
     return run
 
 
-def with_halo(df: DataFrame, halo: int, rows: int | None = None) -> DataFrame:
+def with_halo(df: DataFrame, halo: int, rows: int | None = None, ahead: int = 0) -> DataFrame:
     """``df`` with ``_pos``, ``_block`` and ``_halo``: every row in its own block, and again as halo
-    (true) in each block that begins at most ``halo`` rows later."""
+    (true) in each block that begins at most ``halo`` rows later or ends at most ``ahead`` rows
+    before it."""
     rows = rows or ROWS
     df = positioned(df)
     own, last = F.floor(F.col("_pos") / rows), F.floor((F.col("_pos") + halo) / rows)
-    return df.withColumn("_block", F.explode(F.sequence(own, last))).withColumn("_halo", F.col("_block") > own)
+    first = F.greatest(F.floor((F.col("_pos") - ahead) / rows), F.lit(0).cast("long"))
+    return df.withColumn("_block", F.explode(F.sequence(first, last))).withColumn("_halo", F.col("_block") != own)
 
 
-def in_blocks(df: DataFrame, compute: Callable[[DataFrame], DataFrame], halo: int, rows: int | None = None) -> DataFrame:
-    """``compute(df)``, block by block. ``compute`` adds columns that depend on a row and the
-    ``halo`` rows before it, by windows over ``symbol`` and ``time``, and keeps all others.
+def in_blocks(df: DataFrame, compute: Callable[[DataFrame], DataFrame], halo: int, rows: int | None = None, ahead: int = 0) -> DataFrame:
+    """``compute(df)``, block by block. ``compute`` adds columns that depend on a row, the ``halo``
+    rows before and the ``ahead`` rows after it, by windows over ``symbol`` and ``time``, and keeps
+    all others.
 
     While it runs, ``symbol`` names the block as well, so that its windows stay within.
     """
     kept = "_pos" in df.columns
-    cut = with_halo(df, halo, rows).withColumn("symbol", F.struct("symbol", "_block"))
+    cut = with_halo(df, halo, rows, ahead).withColumn("symbol", F.struct("symbol", "_block"))
     out = compute(cut).filter(~F.col("_halo")).withColumn("symbol", F.col("symbol.symbol"))
     return out.drop("_block", "_halo", *([] if kept else ["_pos"]))
 

@@ -12,20 +12,22 @@ import math
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volclock.config import Costs, Labels, Training
 from volclock.operators import folds as cv
 from volclock.operators import trading
-from volclock.operators.labels import distribution, labels_for
+from volclock.operators.labels import closes_of, distribution, forward_paths, labels_of
 from volclock.operators.weights import sample_weights
+from volclock.sources.stored import stored
 
 CLASSES = (0, 1, 2)
 #: The score of a trial that can't be judged.
@@ -221,52 +223,73 @@ def score(average: dict[str, float]) -> float:
     return sharpe
 
 
-def _search(spark: SparkSession, trials: list, run: Callable[[object], float], seconds: float) -> object:
-    """The trial of the best score. A trial that fails is rejected and told in the log; none
-    starts after ``seconds``."""
-    began, best, best_score = time.monotonic(), None, -math.inf
-    for trial in trials:
-        if best is not None and time.monotonic() - began > seconds:
-            break
+def joint_trees(rng: random.Random, base: Trees) -> Trees:
+    """Settings drawn for the joint search. A tree of so many leaves needs no more levels than its
+    logarithm, which bounds the depth; Spark's trees have no penalties on leaf values."""
+    leaves = rng.randint(15, 63)
+    return replace(
+        base,
+        n_trees=rng.randrange(100, 801, 100),
+        learning_rate=math.exp(rng.uniform(math.log(0.01), math.log(0.1))),
+        max_depth=min(rng.randint(3, 8), math.ceil(math.log2(leaves))),
+        min_rows=rng.randint(50, 300),
+        subsample=rng.uniform(0.6, 0.9),
+        columns=rng.uniform(0.6, 0.9),
+    )
+
+
+def _search(trials: list, run: Callable[[object], float], seconds: float, parallel: int = 1) -> object:
+    """The trial of the best score, of several the first. ``parallel`` trials submit their jobs at a
+    time. A trial that fails is rejected and told in the log; none but the first starts after
+    ``seconds``."""
+    began = time.monotonic()
+
+    def one(place: int) -> float | None:
+        if place and time.monotonic() - began > seconds:
+            return None
         try:
-            got = run(trial)
+            return run(trials[place])
         except ValueError as why:
-            log.warning("trial %s failed: %s", trial, why)
-            got = REJECTED
-        if got > best_score:
-            best, best_score = trial, got
-    return best
+            log.warning("trial %s failed: %s", trials[place], why)
+            return REJECTED
+
+    with ThreadPoolExecutor(parallel) as pool:
+        scores = list(pool.map(one, range(len(trials))))
+    return trials[max((i for i, s in enumerate(scores) if s is not None), key=lambda i: (scores[i], -i))]
 
 
 def tune(
     rows: DataFrame, names: list[str], n_trials: int = 80, seconds: float = 7200, base: Trees = Trees(), cfg: Training = Training(), costs: Costs = Costs(),
-    sample: Callable[[random.Random, Trees], Trees] = sampled_trees,
+    sample: Callable[[random.Random, Trees], Trees] = sampled_trees, parallel: int = 1,
 ) -> Trained:
     """Random search for the settings of the best mean result a trade, then training with them."""
     rng = random.Random(cfg.seed)
     trials = [sample(rng, base) for _ in range(n_trials)]
-    best = _search(rows.sparkSession, trials, lambda t: train(rows, names, t, cfg, costs).average.get("expected_return_pips", REJECTED), seconds)
+    best = _search(trials, lambda t: train(rows, names, t, cfg, costs).average.get("expected_return_pips", REJECTED), seconds, parallel)
     return train(rows, names, best, cfg, costs)
 
 
-def labelled_rows(features: DataFrame, prices: DataFrame, names: list[str], barriers: Labels, pip: float) -> DataFrame:
-    found = labels_for(prices, features, barriers, pip)
+def labelled_rows(features: DataFrame, paths: DataFrame, names: list[str], barriers: Labels, pip: float) -> DataFrame:
+    """Rows to train on, with the labels of one setting of ``forward_paths``."""
+    found = labels_of(paths, barriers, pip).dropna(subset=["label"])
     return aligned_rows(features, found.drop("close"), sample_weights(found.select("symbol", "time", "t1")), names)
 
 
 def tune_jointly(
     features: DataFrame, prices: DataFrame, names: list[str], n_trials: int = 100, seconds: float = math.inf, base: Trees = Trees(), barriers: Labels = Labels(),
-    cfg: Training = Training(), costs: Costs = Costs(), least: int = 100, sample: Callable[[random.Random, Trees], Trees] = sampled_trees,
+    cfg: Training = Training(), costs: Costs = Costs(), least: int = 100, sample: Callable[[random.Random, Trees], Trees] = joint_trees, parallel: int = 1,
 ) -> Trained:
-    """Random search over barriers and model; every trial labels anew.
+    """Random search over barriers and model. The forward paths of all trials are written once in the
+    shared folder; each trial reads its labels off them, row by row.
 
     Trials whose labels lack a class, or have one with fewer than ``least`` rows, are rejected.
     """
     rng = random.Random(cfg.seed)
     trials = [(sampled_barriers(rng, barriers), sample(rng, base)) for _ in range(n_trials)]
+    paths = stored(forward_paths(closes_of(prices, features), [b for b, _ in trials]), "paths")
 
     def run(trial: tuple[Labels, Trees]) -> float:
-        rows = labelled_rows(features, prices, names, trial[0], costs.pip_value).persist()
+        rows = labelled_rows(features, paths, names, trial[0], costs.pip_value).persist()
         try:
             counts = [r["n"] for r in distribution(rows, "label").collect()]
             if len(counts) < len(CLASSES) or min(counts) < least:
@@ -275,6 +298,6 @@ def tune_jointly(
         finally:
             rows.unpersist()
 
-    best_barriers, best_trees = _search(features.sparkSession, trials, run, seconds)
-    rows = labelled_rows(features, prices, names, best_barriers, costs.pip_value)
+    best_barriers, best_trees = _search(trials, run, seconds, parallel)
+    rows = labelled_rows(features, paths, names, best_barriers, costs.pip_value)
     return replace(train(rows, names, best_trees, cfg, costs), barriers=best_barriers)

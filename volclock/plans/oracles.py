@@ -95,6 +95,17 @@ l AS (SELECT p.symbol, p.time, p.close, CASE WHEN fine THEN CASE WHEN h.j IS NUL
   CASE WHEN fine THEN CASE WHEN h.j IS NULL THEN 'time' WHEN x.close >= p.close + 0.7 * (p.m * p.daily_vol) THEN 'upper' ELSE 'lower' END END AS barrier_type,
   CASE WHEN fine THEN coalesce(h.j, 24) END AS holding_period
   FROM (SELECT *, rn + 24 <= total AND daily_vol > 0 AS fine FROM p) p LEFT JOIN hits h ON h.symbol = p.symbol AND h.rn = p.rn LEFT JOIN p x ON x.symbol = p.symbol AND x.rn = p.rn + coalesce(h.j, 24))"""
+#: The same for several settings: (setting, pt, sl, least and longest holding period, lookback).
+GRID = f"""{C}, {R}, v AS (SELECT *, {over('stddev_samp', 'ret', 48, 20)} * close * sqrt(48) AS vol48, {over('stddev_samp', 'ret', 24, 20)} * close * sqrt(24) AS vol24,
+  {over('stddev_samp', 'ret', 12, 10)} / nullif({over('stddev_samp', 'ret', 96, 50)}, 0) AS ratio FROM r),
+g AS (SELECT setting, pt::DOUBLE AS pt, sl::DOUBLE AS sl, least, longest, n FROM (VALUES (0, 0.7, 0.4, 6, 24, 48), (1, 0.3, 0.3, 6, 24, 24), (2, 1.2, 0.5, 12, 36, 48), (3, 0.2, 1.1, 18, 48, 24)) AS g(setting, pt, sl, least, longest, n)),
+q AS (SELECT symbol, time, close, vol24, vol48, {MULT} AS m, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY symbol) AS total FROM v),
+b AS (SELECT *, close + pt * w AS up, close - sl * w AS down, rn + longest <= total AND w > 0 AS fine FROM (SELECT q.*, g.*, m * CASE WHEN n = 24 THEN vol24 ELSE vol48 END AS w FROM q, g)),
+hits AS (SELECT b.setting, b.symbol, b.rn, min(q.rn - b.rn) AS j FROM b JOIN q ON q.symbol = b.symbol AND q.rn BETWEEN b.rn + b.least AND b.rn + b.longest AND (q.close >= b.up OR q.close <= b.down) GROUP BY ALL),
+l AS (SELECT b.setting, b.symbol, b.time, CASE WHEN fine THEN CASE WHEN h.j IS NULL THEN CASE WHEN abs((x.close - b.close) / 0.01) < 3 THEN 0 WHEN x.close > b.close THEN 1 ELSE -1 END WHEN x.close >= up THEN 1 ELSE -1 END END AS label,
+  CASE WHEN fine THEN x.time END AS t1, CASE WHEN fine THEN (x.close - b.close) / 0.01 END AS ret_pips,
+  CASE WHEN fine THEN CASE WHEN h.j IS NULL THEN 'time' WHEN x.close >= up THEN 'upper' ELSE 'lower' END END AS barrier_type, CASE WHEN fine THEN coalesce(h.j, longest) END AS holding_period
+  FROM b LEFT JOIN hits h ON h.setting = b.setting AND h.symbol = b.symbol AND h.rn = b.rn LEFT JOIN q x ON x.symbol = b.symbol AND x.rn = b.rn + coalesce(h.j, longest))"""
 SPANS = f"{LABELS}, s AS (SELECT * FROM l WHERE label IS NOT NULL)"
 POINTS = f"""{SPANS}, pts AS (SELECT symbol, t, sum(a) AS a, sum(b) AS b FROM (SELECT symbol, time AS t, 1 AS a, 0 AS b FROM s UNION ALL SELECT symbol, t1, 0, 1 FROM s) GROUP BY 1, 2),
 con AS (SELECT symbol, t, CAST(sum(a) OVER (PARTITION BY symbol ORDER BY t) - coalesce(sum(b) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS concurrent FROM pts)"""
@@ -104,6 +115,15 @@ FOLDS = f"""{SPANS}, q AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*)
 f AS (SELECT symbol, fold, ts * (fold + 1) AS a, ts * (fold + 2) AS b, greatest(ts * (fold + 1) - greatest(24, CAST(floor(ts * 0.01) AS BIGINT)), 0) AS e FROM (SELECT DISTINCT symbol, ts FROM q), (SELECT unnest(range(5)) AS fold)),
 b AS (SELECT f.*, q.time AS test_time FROM f JOIN q ON q.symbol = f.symbol AND q.rn = f.a),
 role AS (SELECT q.*, fold, test_time, CASE WHEN rn >= b.a AND rn < b.b THEN 'test' ELSE 'train' END AS role FROM q JOIN b USING (symbol) WHERE rn >= b.a AND rn < b.b OR rn < b.e AND t1 < test_time)"""
+#: A feature's values come from the row so many places on in the order of a hash of seed, symbol and time.
+PERMUTED = f"""WITH {FOLDS}, told AS (SELECT symbol, time, ret AS returns_1, tick_volume::DOUBLE AS tick_volume, spread::DOUBLE AS spread FROM r),
+o AS (SELECT fold, label, told.*, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('|', '42', role.symbol, epoch_us(role.time)))) - 1 AS rk, count(*) OVER (PARTITION BY fold) AS n
+  FROM role JOIN told ON told.symbol = role.symbol AND told.time = role.time WHERE role = 'test'),
+nm AS (SELECT * FROM (VALUES ('', 0), ('returns_1', 1), ('tick_volume', 2), ('spread', 3)) AS nm(feature, place)),
+x AS (SELECT a.fold, feature, a.label, CASE WHEN feature = 'returns_1' THEN d.returns_1 ELSE a.returns_1 END AS returns_1, CASE WHEN feature = 'tick_volume' THEN d.tick_volume ELSE a.tick_volume END AS tick_volume
+  FROM o a CROSS JOIN nm JOIN o d ON d.fold = a.fold AND d.rk = (a.rk + greatest(1, a.n * place // 4)) % a.n),
+s2 AS (SELECT fold, feature, avg(CASE WHEN label = CASE WHEN returns_1 > 0 AND tick_volume % 2 = 0 THEN 1 WHEN returns_1 < 0 THEN -1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM x GROUP BY ALL)
+SELECT CAST(p.fold AS INTEGER) AS fold, p.feature, round(p.accuracy, 6) AS accuracy, round(w.accuracy - p.accuracy, 6) AS importance FROM s2 p JOIN s2 w ON w.fold = p.fold AND w.feature = '' AND p.feature <> ''"""
 _K = "((holding_period * 7 + extract(hour FROM time) * 3 + extract(day FROM time)) % 10)"
 SCORED = f"""{SPANS}, sc AS (SELECT *, greatest(p0, 0.3, p2) AS best, CASE WHEN p0 >= 0.3 AND p0 >= p2 THEN 0 WHEN 0.3 >= p2 THEN 1 ELSE 2 END AS class
   FROM (SELECT *, ({_K} + 1) / 20.0::DOUBLE AS p0, 0.65::DOUBLE - {_K} / 20.0::DOUBLE AS p2 FROM s))"""
@@ -226,6 +246,8 @@ SELECT * FROM o WHERE returns_1 IS NOT NULL AND returns_3 IS NOT NULL AND bb_wid
     "daily_vol": plain(r6(daily_vol="daily_vol") + " FROM v", f"{C}, {R}, {VOLATILITY}"),
     "barrier_multiplier": plain(r6(barrier_mult=MULT) + " FROM v", f"{C}, {R}, {VOLATILITY}"),
     "triple_barrier": f"WITH {LABELS} SELECT symbol, time, label, t1, {r6(ret='ret', ret_pips='ret_pips')}, barrier_type, holding_period FROM l",
+    "barrier_grid": f"WITH {GRID} SELECT setting, symbol, time, label, t1, {r6(ret_pips='ret_pips')}, barrier_type, holding_period FROM l",
+    "permuted_accuracy": PERMUTED,
     "label_dist": f"WITH {LABELS} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM l WHERE label IS NOT NULL GROUP BY label",
     "barrier_dist": f"WITH {LABELS} SELECT barrier_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM l WHERE barrier_type IS NOT NULL GROUP BY barrier_type",
     "concurrency": f"WITH {POINTS} SELECT symbol, t, concurrent FROM con",

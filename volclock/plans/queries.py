@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from volclock.config import Cleaning, Costs, Features, Labels, Training
 from volclock.functions import blocks
 from volclock.functions.windows import zscore
-from volclock.operators import asof, bars, features, folds, fracdiff, labels, trading, weights
+from volclock.operators import asof, bars, features, folds, fracdiff, importance, labels, trading, training, weights
 from volclock.sources import candles
+from volclock.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -260,6 +262,18 @@ def triple_barrier(spark, sf_dir):
     return only(df, "label", "t1", "ret", "ret_pips", "barrier_type", "holding_period")
 
 
+#: Settings labelled at once: (pt, sl, least and longest holding period, lookback).
+GRID = [(0.7, 0.4, 6, 24, 48), (0.3, 0.3, 6, 24, 24), (1.2, 0.5, 12, 36, 48), (0.2, 1.1, 18, 48, 24)]
+
+
+@query
+def barrier_grid(spark, sf_dir):
+    settings = [replace(BARRIERS, pt=pt, sl=sl, min_hold=least, max_hold=longest, vol_lookback=n) for pt, sl, least, longest, n in GRID]
+    paths = stored(labels.forward_paths(h1(spark, sf_dir).select("symbol", "time", "close"), settings), "paths")
+    df = labels.grid_labels(paths, settings, PIP).withColumn("t1", F.col("t1").cast("timestamp_ntz"))
+    return only(df, "setting", "label", "t1", "ret_pips", "barrier_type", "holding_period")
+
+
 @query
 def label_dist(spark, sf_dir):
     return labels.distribution(labelled(spark, sf_dir), "label")
@@ -429,3 +443,29 @@ def importance_by_fold(spark, sf_dir):
     f = folds.purged_folds(df).filter("role = 'train'").groupBy("fold").agg(*[F.abs(F.corr("label", n)).alias(n) for n in ("returns_1", "returns_3")])
     return f.unpivot("fold", ["returns_1", "returns_3"], "feature", "value").groupBy("feature").agg(F.avg("value").alias("mean"))
 
+
+def told(spark, sf_dir, df):
+    """``df`` with what its candle tells: the change of the close, ticks and spread."""
+    told = features.returns(h1(spark, sf_dir), (1,)).select("symbol", "time", "returns_1", *[F.col(n).cast("double").alias(n) for n in ("tick_volume", "spread")])
+    return df.join(told, ["symbol", "time"])
+
+
+TOLD = ["returns_1", "tick_volume", "spread"]
+
+
+@query
+def permuted_accuracy(spark, sf_dir):
+    """Importances for a fixed rule that goes by the change and the ticks, but not by the spread."""
+    test = folds.purged_folds(labelled(spark, sf_dir).dropna(subset=["label"])).filter("role = 'test'")
+    rows = importance.permuted(told(spark, sf_dir, test.select("fold", "symbol", "time", F.col("label").alias("class"))), TOLD)
+    rule = F.when((F.col("returns_1") > 0) & (F.pmod("tick_volume", F.lit(2)) == 0), 1).when(F.col("returns_1") < 0, -1).otherwise(0)
+    return importance.lost_accuracy(rows.withColumn("class_predicted", rule))
+
+
+@query
+def permutation_importance(spark, sf_dir):
+    """Mean over folds of what a forest's accuracy loses without a feature; the most important first."""
+    df = told(spark, sf_dir, labelled(spark, sf_dir).dropna(subset=["label"])).dropna(subset=TOLD)
+    rows = df.withColumns({"class": (F.col("label") + 1).cast("double"), "weight": F.lit(1.0)}).select("symbol", "time", "t1", "class", "weight", *TOLD)
+    found = importance.permutation_importance(rows, TOLD, training.Trees(n_trees=20, min_rows=20), Training(n_splits=3))
+    return training.ranked(found)
