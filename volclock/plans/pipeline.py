@@ -37,14 +37,16 @@ def require_bars(df: DataFrame, least: int = LEAST_BARS) -> DataFrame:
     return df
 
 
-def build_features(fast: DataFrame, slow: DataFrame, cfg: Features = Features(), d: float = 0.4, use_bars: bool = True, session_window: tuple[int, int] = (1440, 288)) -> DataFrame:
-    """symbol, time and the 58 features, without rows that miss any.
+def build_features(fast: DataFrame, slow: DataFrame, cfg: Features = Features(), d: float = 0.4, use_bars: bool = True, session_window: tuple[int, int] = (1440, 288), least: int | None = None) -> DataFrame:
+    """symbol, time and the 58 features, without rows that miss any. Fewer than ``least`` bars of a
+    symbol are an error, if it is given.
 
     Each step works on blocks of rows, not on whole symbols. What several blocks' summaries are
     taken from is written once in the shared folder instead of being computed for each of them:
     the bars, the joined rows, and the indicators.
     """
     df = stored(bars.volume_bars(fast, cfg.volume_bar_size).drop("bar_id"), "bars") if use_bars else fast
+    df = df if least is None else require_bars(df, least)
     slower = stored(asof.shifted(features.h1_features(stored(slow, "slow"), cfg), list(features.H1)), "slow-features")
     df = stored(blocks.positioned(asof.asof(df, slower, list(features.H1))), "joined")
     df = stored(features.indicators(fracdiff.frac_diff(df, d), cfg), "indicators")
