@@ -9,8 +9,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import same
 from volclock.operators import features, fracdiff, labels, weights
 from volclock.config import Labels
+from volclock.plans import oracles, queries
 
 BEGIN = datetime(2024, 1, 1)
 SCHEMA = "symbol string, time timestamp, open double, high double, low double, close double, tick_volume long, spread long"
@@ -45,6 +47,15 @@ def test_scale(walk):
     assert one["ONE", BEGIN]["rsi"] is None and one["ONE", BEGIN]["bb_position"] == 0.5
 
 
+def test_directions_at_odd_closes(spark, tmp_path):
+    """A close of 0, or a negative one, in either timeframe has the directions that the SQL gives it."""
+    rng, odd = random.Random(3), {31, 32, 59, 120, 121, 122, 123, 300}
+    made = [(i, BEGIN + timedelta(minutes=15 * i, seconds=7), rng.choice(["a", "b"]), rng.choice([0.0, -3.5]) if i in odd else 100 + rng.gauss(0, 9), '{"k": 4}') for i in range(400)]
+    df = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, event_type string, value double, props string")
+    df.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    same(queries.QUERIES["cross_tf"](spark, str(tmp_path)), oracles.ORACLE_SQL["cross_tf"], str(tmp_path))
+
+
 def test_whole_orders(walk):
     assert fracdiff.weights(1.0)[:2] == [1.0, -1.0] and fracdiff.weights(0.0)[0] == 1.0
     rows = fracdiff.frac_diff(walk.filter("symbol = 'EURUSD'"), 1.0).orderBy("time").collect()

@@ -21,7 +21,8 @@ def c(name: str) -> Column:
 
 @numbered
 def exponential(df: DataFrame, suffix: str = "", fast: int = 12, slow: int = 26, signal: int = 9, period: int = 14, rows: int | None = None) -> DataFrame:
-    """rsi, macd_pct, macd_signal_pct, macd_hist_pct, ema_cross_pct and atr_pct.
+    """rsi, macd_pct, macd_signal_pct, macd_hist_pct, ema_cross_pct and atr_pct, and the signs of the
+    line and the histogram as ema_side and macd_side, which a close of 0 has as well.
 
     The signal is the mean of a difference of means. A mean of a mean is a sum of two plain means
     of the same prices, so that one scan gives all.
@@ -55,6 +56,8 @@ def exponential(df: DataFrame, suffix: str = "", fast: int = 12, slow: int = 26,
         "macd_hist_pct": (c("_line") - c("_signal")) * pct,
         "ema_cross_pct": c("_line") * pct,
         "atr_pct": safe(c("_atr"), c("close")),
+        "ema_side": F.sign(c("_line")),
+        "macd_side": F.sign(c("_line") - c("_signal")),
     }
     return df.select(*keep, *[v.alias(k + suffix) for k, v in out.items()])
 
@@ -231,28 +234,37 @@ H1 = (
     "rsi_h1", "macd_pct_h1", "macd_signal_pct_h1", "macd_hist_pct_h1", "ema_cross_h1", "atr_pct_h1", "bb_position_h1",
     "realized_vol_h1", "vol_regime_h1", "hurst_h1", "returns_1_h1", "returns_4_h1", "returns_24_h1",
 )
+#: Not features by themselves: what ``cross_timeframe`` needs of the slower timeframe besides.
+SIDES = ("ema_side_h1", "macd_side_h1")
 
 
 @numbered
 def h1_features(df: DataFrame, cfg: Features = Features()) -> DataFrame:
-    """symbol, time and the thirteen features of the slower timeframe."""
+    """symbol, time, the thirteen features of the slower timeframe and its ``SIDES``."""
     df = exponential(df, "_h1").withColumnRenamed("ema_cross_pct_h1", "ema_cross_h1")
 
     def trailing_ones(df: DataFrame) -> DataFrame:
         df = volatility(returns(bollinger(df, suffix="_h1"), cfg.h1_horizons, "_h1"), 24, 10, "realized_vol_h1")
         return hurst(vol_regime(df, 4, 2, 48, 10, "vol_regime_h1"))
 
-    return blocks.in_blocks(df, trailing_ones, max(48, *cfg.h1_horizons)).select("symbol", "time", *H1)
+    return blocks.in_blocks(df, trailing_ones, max(48, *cfg.h1_horizons)).select("symbol", "time", *H1, *SIDES)
 
 
 def cross_timeframe(df: DataFrame) -> DataFrame:
-    """Adds what its inputs allow: trend_alignment, m5_vs_h1_rsi_divergence, macd_alignment."""
-    wanted = {
-        "trend_alignment": (("ema_cross_pct", "ema_cross_h1"), lambda a, b: F.sign(a) * F.sign(b)),
-        "m5_vs_h1_rsi_divergence": (("rsi", "rsi_h1"), lambda a, b: a - b),
-        "macd_alignment": (("macd_hist_pct", "macd_hist_pct_h1"), lambda a, b: F.sign(a) * F.sign(b)),
-    }
-    return df.withColumns({k: f(*map(F.col, names)) for k, (names, f) in wanted.items() if set(names) <= set(df.columns)})
+    """Adds what its inputs allow: trend_alignment, m5_vs_h1_rsi_divergence, macd_alignment.
+
+    Directions are those of price differences where these are given; a percentage of the close,
+    which else does, has none where that is 0, and the opposite one where it is negative.
+    """
+    both = lambda a, b: F.sign(a) * F.sign(b)
+    wanted = [
+        ("trend_alignment", ("ema_cross_pct", "ema_cross_h1"), both),
+        ("trend_alignment", ("ema_side", "ema_side_h1"), both),
+        ("m5_vs_h1_rsi_divergence", ("rsi", "rsi_h1"), lambda a, b: a - b),
+        ("macd_alignment", ("macd_hist_pct", "macd_hist_pct_h1"), both),
+        ("macd_alignment", ("macd_side", "macd_side_h1"), both),
+    ]
+    return df.withColumns({k: f(*map(F.col, names)) for k, names, f in wanted if set(names) <= set(df.columns)})
 
 
 BOUNDED = frozenset(

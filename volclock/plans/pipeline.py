@@ -47,8 +47,9 @@ def build_features(fast: DataFrame, slow: DataFrame, cfg: Features = Features(),
     """
     df = stored(bars.volume_bars(fast, cfg.volume_bar_size).drop("bar_id"), "bars") if use_bars else fast
     df = df if least is None else require_bars(df, least)
-    slower = stored(asof.shifted(features.h1_features(stored(slow, "slow"), cfg), list(features.H1)), "slow-features")
-    df = stored(blocks.positioned(asof.asof(df, slower, list(features.H1))), "joined")
+    names = [*features.H1, *features.SIDES]
+    slower = stored(asof.shifted(features.h1_features(stored(slow, "slow"), cfg), names), "slow-features")
+    df = stored(blocks.positioned(asof.asof(df, slower, names)), "joined")
     df = stored(features.indicators(fracdiff.frac_diff(df, d), cfg), "indicators")
     df = features.cross_timeframe(features.consecutive(df))
     df = features.regime(features.sessions(features.microstructure(df, cfg), cfg, *session_window), cfg)

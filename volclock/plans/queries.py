@@ -221,7 +221,7 @@ def h1_asof(spark, sf_dir):
 @query
 def cross_tf(spark, sf_dir):
     m5 = features.exponential(candles.event_candles(events(spark, sf_dir), 15))
-    names = list(features.H1)
+    names = [*features.H1, *features.SIDES]
     joined = asof.asof(m5, asof.shifted(features.h1_features(h1(spark, sf_dir)), names), names)
     return only(features.cross_timeframe(joined), "trend_alignment", "m5_vs_h1_rsi_divergence", "macd_alignment")
 
