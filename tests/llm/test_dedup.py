@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, TINY
 from tests.llm import awkward, brute
-from volclock.llm import ngram_join, substring
+from volclock.llm import ngram_join, scratch, substring
 
 
 def texts(df):
@@ -108,3 +110,25 @@ def test_one_of_each_group_with_maps(spark):
     kept = ngram_join.one_of_each_group(more)
     assert kept.columns == more.columns
     assert Counter(tuple(r)[:10] for r in kept.collect()) == Counter(tuple(r) for r in ngram_join.one_of_each_group(docs).collect())
+
+
+def test_shuffles_end_with_their_table(spark):
+    """What was shuffled for a tidy table is gone soon after it is written; the session's setting stays."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before, setting = disk.getAllBlocks().size(), spark.conf.get(scratch.CLEANUP, None)
+    with scratch.Temporary(spark, tidy=True) as temporary:
+        df = spark.range(50_000).groupBy((F.col("id") % 40_000).alias("k")).agg(F.count("*").alias("n"))
+        assert temporary.stored(df, "tidy").count() == 40_000
+        end = time.time() + 20
+        while (left := disk.getAllBlocks().size()) > before + 8 and time.time() < end:
+            time.sleep(0.2)  # the count above shuffles a row of each of its few tasks
+    assert left <= before + 8 and spark.conf.get(scratch.CLEANUP, None) == setting
+
+
+def test_rounds_share_the_tokens(spark, monkeypatch):
+    """Each pair is met in one round or in several; groups are the same whatever their number."""
+    docs, found = awkward.documents(spark), []
+    for n in (1, 5):
+        monkeypatch.setattr(ngram_join, "ROUNDS", n)
+        found.append(got(ngram_join.similar_groups(docs, 3, 90)))
+    assert found[0] == found[1]

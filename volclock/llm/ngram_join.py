@@ -25,6 +25,7 @@ gives an empty result. Columns of the caller keep their values, whatever their n
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate, pairwise
@@ -49,6 +50,9 @@ SUMMARISED, SUMMARY = 1 << 21, 1 << 16
 #: The classes of a token in at most so many prefixes are paired at once; longer lists go through
 #: a hub first.
 FEW = 3
+#: What is left after the hubs is joined in so many rounds, each of its share of the tokens, so that
+#: only one round's rows are on the disks of the shuffle at a time.
+ROUNDS = 4
 #: Words of 64 bits in a signature.
 PARITY = 4
 #: A task emits the prefix of a class once, as far as it remembers its last classes.
@@ -305,13 +309,17 @@ def crossing(lists: DataFrame, crowded, roots: DataFrame, temporary: Temporary,
     named = postings(once, lambda tokens: ~crowded.value.holds(tokens) | open_.value.holds(tokens))
     named = temporary.stored(named, "jac-named")
     temporary.drop(once, mixed)
-    left, right = (named.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
     a, b = ({f: F.col(f"{f}_{side}") for f in FIELDS} for side in "lr")
     likely = alike(a, b, numerator, denominator) & first_shared(a, b, numerator, denominator)
-    met = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely)
-    pairs = temporary.stored(met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct(), "jac-met")
+
+    def met(share: DataFrame) -> DataFrame:
+        left, right = (share.select("token", *[F.col(f).alias(f"{f}_{side}") for f in (*FIELDS, "root")]) for side in "lr")
+        pairs = left.join(right, (left["token"] == right["token"]) & (F.col("root_l") < F.col("root_r")) & likely)
+        return pairs.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct()
+
+    rounds = [temporary.stored(met(named.filter(F.pmod("token", F.lit(ROUNDS)) == k)), "jac-met") for k in range(ROUNDS)]
     temporary.drop(named)
-    return pairs
+    return functools.reduce(DataFrame.unionByName, rounds)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
@@ -415,7 +423,7 @@ def linked_classes(docs: DataFrame, temporary: Temporary, ngram: int, numerator:
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with Temporary(docs.sparkSession) as temporary:
+    with Temporary(docs.sparkSession, tidy=True) as temporary:
         rows, roots = linked_classes(docs, temporary, ngram, numerator, denominator)
         by_class = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("_first"))
         by_class = by_class.join(roots, by_class["cls"] == roots["node"], "left").select("cls", "_first", F.coalesce("root", "cls").alias("_root"))
@@ -444,7 +452,7 @@ def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, numerator: int = NUME
     # maps can't be hashed as they are
     text, row = text_digest(F.col("text")), F.xxhash64(*[F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
     keys = docs.select(text.alias("text_key"), row.alias("row_key"), F.col("doc_id").cast("long").alias("id"))
-    with Temporary(docs.sparkSession) as temporary:
+    with Temporary(docs.sparkSession, tidy=True) as temporary:
         rows, roots = linked_classes(docs.select(text.alias("doc_id"), "text"), temporary, ngram, numerator, denominator)
         groups = rows.filter("n > 0").select(F.col("doc_id").alias("text_key"), "cls").distinct()
         groups = groups.join(roots, groups["cls"] == roots["node"], "left").select("text_key", F.coalesce("root", "cls").alias("group"))
